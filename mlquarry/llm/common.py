@@ -35,14 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salt: list[str] | None = None) -> DataFrame:
     """Equi-join on key where the left side may repeat one key without bound and the right side has each key once.
 
-    Left rows of a key go to SPREAD partitions, and each right row to all of them.
+    Left rows of a key go to SPREAD partitions by the columns salt (all of them if not given), and each right row to all.
     """
-    salt = F.pmod(F.xxhash64(*[left[c] for c in left.columns]), F.lit(SPREAD)).cast("int")
+    part = F.pmod(F.xxhash64(*[left[c] for c in salt or left.columns]), F.lit(SPREAD)).cast("int")
     copies = F.explode(F.array(*[F.lit(i) for i in range(SPREAD)]))
-    return left.withColumn("__salt", salt).join(right.withColumn("__salt", copies), [key, "__salt"], how).drop("__salt")
+    return left.withColumn("__salt", part).join(right.withColumn("__salt", copies), [key, "__salt"], how).drop("__salt")
 
 
 def text_hash(text: Column | str) -> Column:
