@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, packing, quality_rules, simhash, warc
+from . import license_scan, line_dedup, packing, quality_classifier, quality_rules, simhash, warc
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
     "op9_packing": op9_packing,

@@ -16,7 +16,7 @@ from typing import NamedTuple
 import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, shared_dir, spread_join
@@ -216,7 +216,7 @@ def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0)
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     rows = read_archives(write(pages, folder, min_bytes), payload=False)
 
-    def number(c: str) -> F.Column:
+    def number(c: str) -> Column:
         return F.when(F.startswith(F.col(c), F.lit(PAGE)), F.substring(c, len(PAGE) + 1, 99).cast("long"))
 
     return rows.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
