@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, packing, quality_classifier, quality_rules, simhash, warc
+from . import license_scan, line_dedup, lm_score, packing, quality_classifier, quality_rules, simhash, warc
 from .common import read
 
 
@@ -30,6 +30,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).drop("th", "root")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
+    "op7_lm_score": op7_lm_score,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
