@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, lm_score, packing, quality_classifier, quality_rules, simhash, warc
+from . import html_extract, license_scan, line_dedup, lm_score, packing, quality_classifier, quality_rules, simhash, warc
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_html_extract": op4_html_extract,
     "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
     "op7_lm_score": op7_lm_score,
