@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, license_scan, line_dedup, lm_score, packing, quality_classifier, quality_rules, simhash, warc
+from . import decontaminate, html_extract, license_scan, line_dedup, lm_score, packing, quality_classifier, quality_rules, simhash, warc
 from .common import read
 
 
@@ -38,6 +38,10 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(read(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
     "op7_lm_score": op7_lm_score,
+    "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
