@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python kernel takes at a time, whatever the size of the Arrow batch.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: Copies of the smaller side in a join whose key may hold a third of the rows.
 SPREAD = 8
 
