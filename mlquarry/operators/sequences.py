@@ -50,7 +50,8 @@ def chi_square(a: Column, b: Column) -> Column:
 def structural_similarity(a: Column, b: Column, c1: float = 6.5025, c2: float = 58.5225) -> Column:
     """The similarity of two frames from their means, variances and covariance as wholes."""
     ma, mb = mean_of(a), mean_of(b)
-    va, vb = (mean_of(F.transform(x, lambda v, m=m: (v - m) * (v - m))) for x, m in ((a, ma), (b, mb)))
+    va = mean_of(F.transform(a, lambda v: (v - ma) * (v - ma)))
+    vb = mean_of(F.transform(b, lambda v: (v - mb) * (v - mb)))
     cov = mean_of(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
     return (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
 
@@ -122,7 +123,7 @@ def motion_energy(df: DataFrame, seq: str, pos: str, frame: str) -> DataFrame:
 
 def frame_statistics(df: DataFrame, keys: list[str], frame: str) -> DataFrame:
     """mean, population deviation, least, largest and median value of each frame."""
-    rows = df.select(*keys, F.explode(frame).cast("double").alias("x"))
+    rows = df.select(*keys, F.explode(frame).alias("x")).withColumn("x", F.col("x").cast("double"))
     return rows.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.median("x").alias("median"))
 
 

@@ -157,13 +157,12 @@ def grow(df: DataFrame, id_col: str, target: str, draw: Draw, n_trees: int, n_cl
 
 
 def predict(df: DataFrame, function: Callable[[np.ndarray], np.ndarray], kind: str = "double", name: str = "prediction") -> DataFrame:
-    """df with function(features) as a column; what the function holds travels as a broadcast."""
-    sent = df.sparkSession.sparkContext.broadcast(function)
+    """df with function(features) as a column; the function travels with the tasks."""
     at = df.columns.index("v")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = sent.value(_vectors(batch.column(at))) if batch.num_rows else np.array([])
+            values = function(_vectors(batch.column(at))) if batch.num_rows else np.array([])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.asarray(values, float)).cast(pa.float64() if kind == "double" else pa.int32())], names=[*batch.schema.names, name])
 
     schema = df.select(*df.columns, F.lit(None).cast(kind).alias(name)).schema
@@ -365,7 +364,7 @@ class IsolationForest:
 
     def fit(self, df: DataFrame) -> IsolationForest:
         # n * sample rows suffice for all trees: one draw, in order of a hash of the id, cut into the trees' shares
-        drawn = df.select("v").withColumn("h", F.xxhash64(F.lit(self.seed), df[self.id_col])).orderBy("h").limit(self.n * self.sample).select("v").toArrow()
+        drawn = df.select("v", F.xxhash64(F.lit(self.seed), self.id_col).alias("h")).orderBy("h").limit(self.n * self.sample).select("v").toArrow()
         x = _vectors(drawn["v"]) if drawn.num_rows else np.zeros((0, 1))
         random = np.random.default_rng(self.seed)
         self.psi = min(self.sample, len(x))

@@ -107,8 +107,12 @@ def cooccurrence(docs: DataFrame, id_col: str, tokens: Column, window: int = 5)
 def char_ngrams(word: Column, low: int = 3, high: int = 6) -> Column:
     """Character n-grams of #word#."""
     marked = F.concat(F.lit("#"), word, F.lit("#"))
-    parts = [F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i, n=n: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*parts)
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1)))
+        return F.when(F.length(marked) >= n, F.transform(starts, lambda i: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of(n) for n in range(low, high + 1)])
 
 
 def subword_vectors(words: DataFrame, word: str, vectors: DataFrame, low: int = 3, high: int = 6) -> DataFrame:
