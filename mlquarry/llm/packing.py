@@ -26,7 +26,9 @@ from .common import chunks, cut, empty_text
 SIZE = 1024
 END_ID = 2
 #: Rounds of multiplicative weights, and how far a round may cover a length.
-ROUNDS, STEP, RATE = 400, 0.02, 12.0
+ROUNDS, STEP, RATE = 3000, 0.25, 0.5
+#: Shares of the fractional solution that are tried; what a share leaves goes by best fit.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.05, 0.02, 0.0)
 #: The word split of byte-level BPE (a fixed value of these tokenizers).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -152,20 +154,26 @@ def best_configuration(value: np.ndarray, size: int) -> dict[int, int]:
 
 
 def fractional(counts: np.ndarray, size: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Configurations, as ((length, times), ...), and how often each is used, nearly covering counts with the least total."""
+    """Configurations, as ((length, times), ...), and how often each is used, covering counts with nearly the least total.
+
+    A length weighs its tokens times exp(-RATE * the share of it that is covered), nothing once it is covered. Each round
+    the knapsack prices the configuration of most weight, which is then used until it has covered STEP more of the length
+    that it covers fastest; so the number of rounds depends on the number of lengths and not on their counts.
+    """
     there = counts > 0
     cover, used = np.zeros(size), {}
     for _ in range(rounds):
-        weight = np.exp(-RATE * (cover - cover[there].min()))
-        value = np.where(there, weight / np.maximum(counts, 1), -np.inf)
+        open_ = there & (cover < 1 - 1e-9)
+        if not open_.any():
+            break
+        value = np.where(open_, np.exp(-RATE * cover) * np.arange(1, size + 1), -np.inf)
         chosen = {l: min(a, int(counts[l - 1])) for l, a in best_configuration(value, size).items()}
-        times = STEP * min(counts[l - 1] / a for l, a in chosen.items())
+        times = min(min(STEP, 1 - cover[l - 1]) * counts[l - 1] / a for l, a in chosen.items())
         key = tuple(sorted(chosen.items(), reverse=True))
         used[key] = used.get(key, 0.0) + times
         for l, a in chosen.items():
             cover[l - 1] += a * times / counts[l - 1]
-    least = cover[there].max()
-    return {k: x / max(least, 1e-12) for k, x in used.items()}
+    return used
 
 
 def best_fit(counts: np.ndarray, size: int) -> dict[tuple, int]:
@@ -192,28 +200,36 @@ def best_fit(counts: np.ndarray, size: int) -> dict[tuple, int]:
     return {items: n for (_, items), n in sorted(open_.items())}
 
 
-def plan(counts: np.ndarray, size: int = SIZE) -> dict[tuple, int]:
-    """How often to use each configuration so that exactly counts[l - 1] pieces of each length l are placed."""
-    left = counts.astype(np.int64).copy()
+def rounded_down(solution: dict[tuple, float], counts: np.ndarray, size: int, share: float) -> dict[tuple, int]:
+    """share of the configurations that fill a sequence, rounded down and within counts; the rest by best fit."""
+    left = counts.copy()
     done: dict[tuple, int] = {}
-    full = int(left[size - 1])
-    if full:
-        done[((size, 1),)], left[size - 1] = full, 0
-    if left.any():
-        shares = fractional(left, size)
-        for config, x in sorted(shares.items(), key=lambda k: (size - sum(l * a for l, a in k[0]), -k[1], k[0])):
-            if size - sum(l * a for l, a in config) > 0:
-                continue  # only sequences without a gap are fixed; the rest is better placed together
-            n = min([int(x), *(int(left[l - 1]) // a for l, a in config)])
+    for config, x in solution.items():
+        if sum(l * a for l, a in config) == size:  # gaps are better left to best fit
+            n = min([int(share * x), *(int(left[l - 1]) // a for l, a in config)])
             if n:
                 done[config] = n
                 for l, a in config:
                     left[l - 1] -= a * n
-        for config, n in best_fit(left, size).items():
-            done[config] = done.get(config, 0) + n
+    for config, n in best_fit(left, size).items():
+        done[config] = done.get(config, 0) + n
     return done
 
 
+def plan(counts: np.ndarray, size: int = SIZE) -> dict[tuple, int]:
+    """How often to use each configuration so that exactly counts[l - 1] pieces of each length l are placed.
+
+    Of the rounded solutions the one with the fewest sequences; ties go to the larger share of the fractional solution.
+    """
+    left = counts.astype(np.int64).copy()
+    whole = {((size, 1),): int(left[size - 1])} if left[size - 1] else {}
+    left[size - 1] = 0
+    if not left.any():
+        return whole
+    solution = fractional(left, size)
+    return whole | min((rounded_down(solution, left, size, s) for s in SHARES), key=lambda d: sum(d.values()))
+
+
 def places(configurations: dict[tuple, int], size: int = SIZE) -> dict[int, np.ndarray]:
     """For each length the columns first rank, times in a sequence, first sequence, offset, in order of rank."""
     rows: dict[int, list] = {}
