@@ -17,6 +17,8 @@ def _fit(grad: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
 class Tensor:
     """data, grad, and for results the tensors they come from with the function that gives each its gradient."""
 
+    __array_ufunc__ = None  # numpy leaves operations with a tensor on the right to the tensor
+
     def __init__(self, data, requires_grad: bool = False, parents: Sequence[tuple[Tensor, Callable]] = (), op: str = ""):
         self.data = np.asarray(data, float)
         self.requires_grad = requires_grad or any(p.requires_grad for p, _ in parents)

@@ -115,8 +115,10 @@ CorrelationThreshold = CorrelationSelector
 
 def correlation(a: str, b: str) -> Column:
     """Pearson correlation of two columns over rows that have both; 0 if it is undefined."""
-    r = F.corr(number(a), number(b))
-    return F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))
+    x, y = number(a), number(b)
+    both = F.isnotnull(x) & F.isnotnull(y)
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

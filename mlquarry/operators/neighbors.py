@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries in a block, and distances computed at a time.
 BLOCK, CELLS = 2048, 2_000_000
@@ -53,13 +54,13 @@ def _searched(queries: DataFrame, rows: DataFrame, id_col: str, row_id: str, kee
     rows = rows.select(row_id, "v", *keep)
     kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *rows.schema)}
     schema = ", ".join([f"{id_col} {kinds[id_col]}", f"{row_id} {rows.schema[row_id].dataType.simpleString()}", "distance double", *[f"{c} {kinds[c]}" for c in keep]])
-    out = None
+    out, kind = None, to_arrow_type(queries.schema[id_col].dataType)
     for ids, vectors in query_blocks(queries, id_col):
         held = queries.sparkSession.sparkContext.broadcast((ids, vectors))  # at most BLOCK queries
 
         def kernel(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
-            ids = pa.array(ids)
+            ids = pa.array(ids, kind)
             for batch in batches:
                 step = max(1, CELLS // max(1, len(q)))
                 for at in range(0, batch.num_rows, step):
