@@ -20,7 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -174,6 +174,18 @@ def log_bilinear(counts: np.ndarray) -> np.ndarray:
     return scores - most - np.log(np.exp(scores - most).sum(axis=1, keepdims=True))
 
 
+def trained(spark: SparkSession, counts: np.ndarray) -> np.ndarray:
+    """log_bilinear(counts) in one task: workers keep to one thread, and the driver holds no training state."""
+    held = spark.sparkContext.broadcast(counts)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([log_bilinear(held.value).tobytes()], pa.binary())], names=["table"])
+
+    found = spark.range(1, numPartitions=1).mapInArrow(kernel, "table binary").toArrow()
+    return np.frombuffer(found["table"][0].as_py()).reshape(counts.shape)
+
+
 def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
     """END, then at most KNOWN tokens and their counts, most frequent first: all from the least size on that leaves no more.
 
@@ -209,7 +221,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     sizes = np.zeros(CLASSES)
     for row in classed.collect():  # at most CLASSES rows
         sizes[row.k] = row.n
-    table = log_bilinear(class_counts(docs, known)).reshape(-1) / np.log(10)
+    table = trained(docs.sparkSession, class_counts(docs, known)).reshape(-1) / np.log(10)
     return Model(known, int(total), int(distinct), np.log10(sizes + 1), table), counts
 
 
