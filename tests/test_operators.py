@@ -411,3 +411,20 @@ def test_tracker(spark, tmp_path):
         own.log(exp, {"acc": best}, 1)
         own.log(exp, {"acc": 0.5}, 2)
     assert [r.exp_id for r in own.top("acc", 1).collect()] == [one] and own.load_all().count() == 2 and one in own.to_markdown()
+
+
+def test_preprocessor_plans(spark, tmp_path):
+    from mlquarry.plans.preprocess import Preprocessor
+
+    x = np.arange(64).reshape(8, 8)
+    (tmp_path / "a.pgm").write_bytes(files.encode_image(x))
+    own = Preprocessor(spark)
+    df = own.load(f"{tmp_path}/a.pgm")
+    got = own.preprocess(df, [{"operation": "flip"}, {"operation": "crop", "params": {"top": 0, "left": 0, "height": 2, "width": 3}}], "data", (8, 8)).first()
+    assert got.out == x[:2, ::-1][:, :3].reshape(-1).tolist() and own.get_history() == ["load image", "flip", "crop"]
+    with pytest.raises(ValueError):
+        own.preprocess(df, [{"operation": "none"}], "data", (8, 8))
+    tone = np.sin(np.arange(4000) / 3)
+    (tmp_path / "a.wav").write_bytes(files.encode_wav(tone))
+    sound = own.preprocess(own.load(f"{tmp_path}/a.wav"), [{"operation": "time_stretch", "params": {"speed": 2.0}}], "samples").first()
+    assert len(sound.out) == len(tone) // 2
