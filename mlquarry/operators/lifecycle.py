@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,27 +73,27 @@ def zero_shot(items: DataFrame, classes: list[tuple[str, list[float]]], vector:
     return items.withColumn("probability", softmax(scores)).withColumn("prediction", F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int")))
 
 
-def contrastive_loss(batch: DataFrame, key: str, a: str, b: str, temperature: float = 0.07, limit: int = 1024) -> float:
-    """Symmetric cross entropy of the cosines of all a with all b of a batch, the own pair being right.
+def contrastive_losses(pairs: DataFrame, batch: str, key: str, a: str, b: str, temperature: float = 0.07, limit: int = 4096) -> DataFrame:
+    """(batch, loss): of each batch the symmetric cross entropy of the cosines of all a with all b, the own pair being right.
 
-    A batch of contrastive training is small by nature; more than limit rows raise ValueError.
+    A batch of contrastive training is small by nature and is one group; more than limit rows in one raise ValueError.
     """
-    import numpy as np
-
-    rows = batch.select(key, a, b).orderBy(key).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a batch of more than {limit} rows")
-    if not rows:
-        return 0.0
-    x, y = (np.array([r[i] for r in rows], float) for i in (1, 2))
-    x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-    z = x @ y.T / temperature
+    kind = pairs.schema[batch].dataType.simpleString()
 
     def loss(z: np.ndarray) -> float:
         most = z.max(axis=1, keepdims=True)
         return float(np.mean(most[:, 0] + np.log(np.exp(z - most).sum(axis=1)) - np.diag(z)))
 
-    return (loss(z) + loss(z.T)) / 2
+    def of_batch(name: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > limit:
+            raise ValueError(f"a batch of more than {limit} rows")
+        frame = frame.sort_values(key)
+        x, y = (np.array(frame[c].tolist(), float) for c in (a, b))
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+        z = x @ y.T / temperature
+        return pd.DataFrame({"batch": [name[0]], "loss": [(loss(z) + loss(z.T)) / 2]})
+
+    return pairs.groupBy(batch).applyInPandas(of_batch, f"batch {kind}, loss double")
 
 
 def genome_distance(one: DataFrame, two: DataFrame, c1: float = 1.0, c2: float = 1.0, c3: float = 0.4) -> DataFrame:

@@ -335,11 +335,12 @@ def zero_shot(spark, sf_dir):
 
 @query(
     "contrastive_loss",
-    f"WITH p AS (SELECT x.vec_id AS i, y.vec_id AS j, list_cosine_similarity(x.v[1:32], y.v[33:64]) / 0.07 AS z FROM {VECS} x, {VECS} y WHERE x.vec_id % 50 = 0 AND y.vec_id % 50 = 0), a AS (SELECT avg(l) AS l FROM (SELECT i, ln(sum(exp(z))) - max(CASE WHEN i = j THEN z END) AS l FROM p GROUP BY i)), b AS (SELECT avg(l) AS l FROM (SELECT j, ln(sum(exp(z))) - max(CASE WHEN i = j THEN z END) AS l FROM p GROUP BY j)) SELECT round((a.l + b.l) / 2, 6) AS loss FROM a, b",
+    f"WITH e AS (SELECT vec_id // 100 AS batch, vec_id, v FROM {VECS}), p AS (SELECT x.batch, x.vec_id AS i, y.vec_id AS j, list_cosine_similarity(x.v[1:32], y.v[33:64]) / 0.07 AS z FROM e x JOIN e y USING (batch)), a AS (SELECT batch, avg(l) AS l FROM (SELECT batch, i, ln(sum(exp(z))) - max(CASE WHEN i = j THEN z END) AS l FROM p GROUP BY batch, i) GROUP BY batch), b AS (SELECT batch, avg(l) AS l FROM (SELECT batch, j, ln(sum(exp(z))) - max(CASE WHEN i = j THEN z END) AS l FROM p GROUP BY batch, j) GROUP BY batch) SELECT batch, round((a.l + b.l) / 2, 6) AS loss FROM a JOIN b USING (batch)",
 )
 def contrastive_loss(spark, sf_dir):
-    batch = asked(spark, sf_dir).select("vec_id", F.slice("v", 1, 32).alias("a"), F.slice("v", 33, 32).alias("b"))
-    return spark.range(1).select(F.lit(round(L.contrastive_loss(batch, "vec_id", "a", "b"), 6)).alias("loss"))
+    """Halves of the embeddings as two views, in batches of a hundred."""
+    pairs = vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 100).alias("batch"), "vec_id", F.slice("v", 1, 32).alias("a"), F.slice("v", 33, 32).alias("b"))
+    return rounded(L.contrastive_losses(pairs, "batch", "vec_id", "a", "b"), "loss")
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -146,10 +146,11 @@ def array_algebra(spark, sf_dir):
     return signals(spark, sf_dir).select("vec_id", r6(arrays.dot(x, x)).alias("dot"), r6(arrays.total(arrays.exp(x))).alias("exps"), r6(total).alias("total"), r6(arrays.item(arrays.transpose(arrays.reshape(x, 8))[0], 1)).alias("item"))
 
 
-@query("matrix_product", "WITH a AS (SELECT vec_id AS i, unnest(range(0, 4)) AS j, unnest(embedding[1:4])::DOUBLE AS v FROM embeddings WHERE vec_id % 50 = 0) SELECT x.i, y.i AS j, round(sum(x.v * y.v), 6) AS v FROM a x JOIN a y ON x.j = y.j GROUP BY 1, 2")
+@query("matrix_product", "WITH a AS (SELECT vec_id AS k, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT x.i, y.i AS j, round(sum(x.v * y.v), 6) AS v FROM a x JOIN a y ON x.k = y.k GROUP BY 1, 2")
 def matrix_product(spark, sf_dir):
-    rows = signals(spark, sf_dir).where("vec_id % 50 = 0").select(F.col("vec_id").alias("i"), F.posexplode(F.slice("x", 1, 4)).alias("j", "v"))
-    return rounded(arrays.matmul(rows, rows.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")), "v")
+    """The product of all embeddings' matrix, transposed, with itself."""
+    rows = signals(spark, sf_dir).select(F.col("vec_id").alias("k"), F.posexplode("x").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
+    return rounded(arrays.matmul(rows.select("i", F.col("k").alias("j"), "v"), rows.select(F.col("k").alias("i"), F.col("i").alias("j"), "v")), "v")
 
 
 @query(
