@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..operators.ranking import numbered
 
 
 def step_lr(base: float, epoch: Column, step_size: int, gamma: float = 0.1) -> Column:
@@ -45,12 +45,8 @@ def early_stopping(history: DataFrame, run: str, epoch: str, value: str, patienc
 def batches(df: DataFrame, order: list[str], batch_size: int = 32, seed: int | None = None) -> DataFrame:
     """df with batch_id and place: rows dealt out in order of a seeded hash of the order columns, or in their order.
 
-    The rows of a batch are whole but for the last one. Places come from ranks within ranges, not from one sorted task.
+    All batches but the last are full.
     """
-    key = F.xxhash64(F.lit(seed), *order) if seed is not None else F.struct(*order)
-    ranged = cut(df.withColumn("__key", key).repartitionByRange("__key", *order).withColumn("__part", F.spark_partition_id()))
-    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = ranged.groupBy("__part").count().select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
-    place = F.col("__start") + F.row_number().over(Window.partitionBy("__part").orderBy("__key", *order)) - 1
-    numbered = ranged.join(F.broadcast(starts), "__part").withColumn("__at", place)
-    return numbered.select(*df.columns, F.floor(F.col("__at") / batch_size).alias("batch_id"), (F.col("__at") % batch_size).alias("place"))
+    key = [F.xxhash64(F.lit(seed), *order)] if seed is not None else []
+    placed = numbered(df, [*key, *order], "__at")
+    return placed.select(*df.columns, F.floor(F.col("__at") / batch_size).alias("batch_id"), (F.col("__at") % batch_size).alias("place"))

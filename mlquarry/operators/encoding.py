@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
 from .base import NotFittedError, number
+from .ranking import numbered
 
 #: A dictionary is broadcast up to this number of entries and joined by shuffle beyond.
 BROADCAST_ENTRIES = 200_000
@@ -17,14 +17,8 @@ MAX_COLUMNS = 5_000
 
 
 def indexed(values: DataFrame, value: str = "value", index: str = "idx") -> DataFrame:
-    """Distinct values with their rank in order, from 0: ranks within ranges of values, plus the sizes of ranges before."""
-    spread = values.select(value).where(F.isnotnull(value)).distinct().repartitionByRange(value)
-    local = cut(spread.select(value, F.spark_partition_id().alias("__part")))  # the ranges must stay as they are
-    sizes = local.groupBy("__part").count()
-    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
-    ranked = local.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(value)))
-    return ranked.join(F.broadcast(starts), "__part").select(value, (F.col("__start") + F.col("__rank") - 1).alias(index))
+    """Distinct values with their place in order, from 0."""
+    return numbered(values.select(value).where(F.isnotnull(value)).distinct(), [value], index)
 
 
 def sized(dictionary: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import Transformer, literal, number
 from .neighbors import nearest
+from .ranking import numbered
 
 
 class OutlierDetector(Transformer):
@@ -164,7 +165,7 @@ def select_clean(losses: DataFrame, id_col: str, loss: str, forget_rate: float =
     below = losses.where(F.col(loss) < literal(cut))
     ties = losses.where(F.col(loss) == literal(cut))
     missing = keep - below.count()
-    first = ties.withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(id_col))).where(F.col("__r") <= missing).drop("__r")
+    first = numbered(ties, [id_col], "__r").where(F.col("__r") < missing).drop("__r")
     return below.unionByName(first)
 
 
