@@ -43,7 +43,9 @@ class _NaiveBayes:
         return [F.lit(log(self.stats[k]["n"] / self.total)) + self.likelihood(k) for k in self.classes]
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """prediction: the likeliest class, of equal ones the first."""
+        """prediction: the likeliest class, of equal ones the first; null if no class was seen."""
+        if self.stats is not None and not self.classes:
+            return df.withColumn("prediction", F.lit(None).cast("int"))
         scores = F.array(*self.log_joint())
         return df.withColumn("prediction", F.element_at(F.array(*[F.lit(k) for k in self.classes]), F.array_position(scores, F.array_max(scores)).cast("int")))
 

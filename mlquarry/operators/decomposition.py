@@ -70,6 +70,9 @@ class LDA(_Projection):
         pairs = [(i, j) for i in range(d) for j in range(i, d)]
         x = [number(c) for c in self.cols]
         rows = df.where(F.isnotnull(self.label)).groupBy(self.label).agg(F.count("*"), *[F.avg(v) for v in x], *[F.covar_pop(x[i], x[j]) for i, j in pairs]).collect()  # a row a class
+        if not rows:
+            self.mean, self.components, self.strength = np.zeros(d), np.zeros((0, d)), np.zeros(0)
+            return self
         n = np.array([r[1] for r in rows], float)
         means = np.array([r[2 : 2 + d] for r in rows], float)
         self.mean = n @ means / n.sum()

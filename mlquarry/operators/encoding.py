@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import NotFittedError, number
+from .base import NotFittedError, literal, number
 from .ranking import numbered
 
 #: A dictionary is broadcast up to this number of entries and joined by shuffle beyond.
@@ -141,13 +141,13 @@ class TargetEncoder(_Dictionary):
         self.tables = {}
         for c in self.cols:
             groups = df.where(F.isnotnull(c)).groupBy(F.col(c).alias("value")).agg(F.count(y).alias("n"), F.sum(y).alias("s"))
-            encoded = F.when(F.col("n") >= self.least, (F.col("s") + self.smoothing * self.mean) / (F.col("n") + self.smoothing)).otherwise(F.lit(self.mean))
+            encoded = F.when(F.col("n") >= self.least, (F.col("s") + self.smoothing * literal(self.mean)) / (F.col("n") + self.smoothing)).otherwise(literal(self.mean))
             self.tables[c] = sized(groups.select("value", encoded.alias("code")))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         for c in self.cols:
-            df = self.looked_up(df, c, F.lit(self.mean))
+            df = self.looked_up(df, c, literal(self.mean).cast("double"))
         return df
 
 

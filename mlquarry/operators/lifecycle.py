@@ -68,6 +68,8 @@ def entropy(probabilities: Column) -> Column:
 
 def zero_shot(items: DataFrame, classes: list[tuple[str, list[float]]], vector: str = "v") -> DataFrame:
     """items with the class of largest cosine and the softmax over all of them; ties go to the first class."""
+    if not classes:
+        return items.withColumns({"probability": F.lit(None).cast("array<double>"), "prediction": F.lit(None).cast("string")})
     scores = F.array(*[cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in v])) for _, v in classes])
     names = F.array(*[F.lit(n) for n, _ in classes])
     return items.withColumn("probability", softmax(scores)).withColumn("prediction", F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int")))

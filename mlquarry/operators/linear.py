@@ -80,7 +80,7 @@ class Ridge(_Linear):
         at = slice(0 if self.fit_intercept else 1, None)
         penalty = self.alpha * np.eye(len(gram.xx))
         penalty[0, 0] = 0.0
-        w = np.linalg.solve(gram.xx[at, at] + penalty[at, at], gram.xy[at])
+        w = np.linalg.lstsq(gram.xx[at, at] + penalty[at, at], gram.xy[at], rcond=None)[0]
         self.intercept, self.coef = (w[0], w[1:]) if self.fit_intercept else (0.0, w)
 
 

@@ -188,7 +188,7 @@ class Forest:
         if self.max_features < 1.0:
             first = df.select(F.size("v")).first()
             random = np.random.default_rng(seed)
-            features = [sorted(random.choice(first[0], max(1, int(self.max_features * first[0])), replace=False).tolist()) for _ in range(n)]
+            features = [sorted(random.choice(first[0], max(1, int(self.max_features * first[0])), replace=False).tolist()) for _ in range(n)] if first else None
         criterion = self.limits.get("criterion", "gini" if self.classify else "mse")
         self.trees = grow(df, self.id_col, self.target, draw, n, self.k, **(self.limits | {"criterion": criterion, "features": features}))
         return self

@@ -322,8 +322,10 @@ def pca(spark, sf_dir):
 
 @query("lda")
 def lda(spark, sf_dir):
-    out = LDA(["a", "b"], "y", 1).fit(df := parts(spark, sf_dir)).transform(df)
-    return rounded(out.select("p_partkey", "c0"), "c0")
+    model = LDA(["a", "b"], "y", 1).fit(df := parts(spark, sf_dir))
+    if not len(model.components):  # no rows, no direction
+        return df.select("p_partkey", F.lit(None).cast("double").alias("c0"))
+    return rounded(model.transform(df).select("p_partkey", "c0"), "c0")
 
 
 @query("zero_shot", f"WITH c AS (SELECT 'c' || vec_id AS n, vec_id, v FROM {VECS} WHERE vec_id < 3), s AS (SELECT e.vec_id, c.n, list_cosine_similarity(e.v, c.v) AS s, c.vec_id AS o FROM {VECS} e, c) SELECT vec_id, n AS prediction FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, o) = 1")

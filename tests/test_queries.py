@@ -43,3 +43,20 @@ def test_query(spark, duck, name):
         order = sorted(names)
         want = sorted((tuple(plain(r[names.index(c)]) for c in order) for r in cursor.fetchall()), key=repr)
         assert sorted((tuple(plain(r[c]) for c in order) for r in rows), key=repr) == want
+
+
+@pytest.fixture(scope="module")
+def no_rows(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("none")
+    for f in os.listdir(DATA):
+        spark.read.parquet(f"{DATA}/{f}").where("false").write.parquet(f"{folder}/{f}")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_on_empty_tables(spark, no_rows, name):
+    if name in ("logistic_regression", "linear_svc"):
+        with pytest.raises(ValueError, match="two classes"):
+            QUERIES[name](spark, no_rows)
+    else:
+        QUERIES[name](spark, no_rows).collect()
