@@ -142,7 +142,7 @@ def best_configuration(value: np.ndarray, size: int) -> dict[int, int]:
     best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
     for c in range(1, size + 1):
         gains = value[:c] + best[c - 1 :: -1]
-        k = int(gains.argmax())
+        k = c - 1 - int(gains[::-1].argmax())  # of equal gains the longest piece: short ones are needed to fill gaps
         best[c], last[c] = (gains[k], k + 1) if gains[k] > best[c - 1] else (best[c - 1], 0)
     chosen: dict[int, int] = {}
     c = size
