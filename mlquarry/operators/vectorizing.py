@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, words_by_space
+from ..storage import cut
 from .encoding import sized
 
 
@@ -65,14 +66,14 @@ def decode(ids: DataFrame, id_col: str, vocab: DataFrame, separator: str = " ")
 
 def count_vectorize(docs: DataFrame, id_col: str, text: str, max_features: int | None = 5000, lowercase: bool = True) -> DataFrame:
     """(id, term, n) for the terms of largest total count."""
-    counts = term_counts(docs, id_col, text, lowercase=lowercase)
+    counts = cut(term_counts(docs, id_col, text, lowercase=lowercase))  # read twice: tokens are found once
     best = top_terms(counts.groupBy("term").agg(F.sum("n").alias("w")), "w", max_features).select("term")
     return counts.join(sized(best), "term").select(id_col, "term", "n")
 
 
 def binary_vectorize(docs: DataFrame, id_col: str, text: str, max_features: int | None = 5000, lowercase: bool = True) -> DataFrame:
     """(id, term, value 1) for the terms in most documents."""
-    found = term_counts(docs, id_col, text, lowercase=lowercase).select(id_col, "term")
+    found = cut(term_counts(docs, id_col, text, lowercase=lowercase).select(id_col, "term"))
     best = top_terms(found.groupBy("term").agg(F.count("*").alias("w")), "w", max_features).select("term")
     return found.join(sized(best), "term").select(id_col, "term", F.lit(1).alias("value"))
 
@@ -82,7 +83,7 @@ def tfidf(docs: DataFrame, id_col: str, text: str, max_features: int | None = 50
 
     The vocabulary is the terms in most documents among those in min_df documents or more and a share of max_df or less.
     """
-    counts = term_counts(docs, id_col, text, lowercase=lowercase, ngram_range=ngram_range)
+    counts = cut(term_counts(docs, id_col, text, lowercase=lowercase, ngram_range=ngram_range))  # read three times
     n_docs = docs.count()
     df = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     best = sized(top_terms(df, "df", max_features))
