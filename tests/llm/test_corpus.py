@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from mlquarry.llm import decontaminate, html_extract, license_scan, line_dedup, lm_score, packing, quality_classifier, quality_rules, simhash, warc
+from mlquarry.llm import decontaminate, html_extract, license_scan, line_dedup, lm_score, near_dedup, packing, quality_classifier, quality_rules, simhash, warc
 from mlquarry.llm.license_texts import TEXTS
 from tests.conftest import oracle
 
@@ -310,6 +310,39 @@ def test_components_of_chains(spark):
     assert all(got[i] == 0 for i in range(1, 201)) and got[400] == got[500] == 300
 
 
+# near-dedup at a similarity
+
+
+def plain_shingles(text):
+    w = [x.decode() for x in (text or "").encode().lower().split()]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_dedup_keeps_one_of_each_similar_group(spark, docs, empty, texts, tmp_path):
+    import corpus_pipeline
+
+    rows = list(dict.fromkeys(texts))
+    for i in range(40):  # copies with one word replaced every so often, on both sides of 0.8
+        own = prose(2000 + i, 150).split()
+        rows.append((1000 + i, " ".join(own)))
+        for k in range(i % 6 + 1):
+            own[20 * k + 10] = "replaced"
+        rows.append((2000 + i, " ".join(own)))
+    chain = prose(3000, 400).split()
+    rows += [(3000 + k, " ".join(chain[k * 20 : k * 20 + 250])) for k in range(8)]
+    rows += [(4000 + k, prose(4000, 200) + f" end{k}") for k in range(40)]  # more under a key than are all compared
+    sets = {r: plain_shingles(r[1]) for r in rows}
+    close = lambda a, b: a == b or (bool(a) and bool(b) and 5 * len(a & b) >= 4 * len(a | b))
+    root = groups([(a, b) for a in rows for b in rows if close(sets[a], sets[b])], rows)
+    place = lambda r: (r[0] is None, r[0] or 0, _hash(r[1]))
+    want = {min((r for r in rows if root[r] == k), key=place) for k in set(root.values())}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows + rows[:3]], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+    assert near_dedup.keep_first(empty).collect() == [] and near_dedup.keep_first(docs).columns == docs.columns
+
+
 # LM
 
 
