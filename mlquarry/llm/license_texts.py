@@ -1,4 +1,9 @@
-"""Texts of well-known licences and the usual notices (fixed values: the published wording, without copyright lines)."""
+"""Texts of well-known licences and the usual notices (fixed values: the published wording, without copyright lines).
+
+The long licences lie whole in the folder licenses. Those that end in instructions for their use are also known without.
+"""
+
+from importlib.resources import files
 
 _BSD_GRANT = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
@@ -113,6 +118,13 @@ For more information, please refer to <https://unlicense.org>
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
 
+_END = "END OF TERMS AND CONDITIONS"
+for _file in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+    _name, _text = _file.name.removesuffix(".txt"), _file.read_text(encoding="utf-8")
+    TEXTS[_name] = _text
+    if _END in _text:
+        TEXTS[f"{_name}-terms"] = _text[: _text.index(_END) + len(_END)]
+
 #: Spellings that count as the same: what is found, as whole words after lower-casing and removal of punctuation, and what it becomes.
 SPELLINGS = {
     "acknowledgement": "acknowledgment",

@@ -238,6 +238,21 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(empty).collect() == []
 
 
+def test_license_scan_knows_the_long_licences(spark):
+    import pandas as pd
+
+    names = ["Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "Apache-2.0-terms", "GPL-3.0-terms"]
+    first = {"Apache-2.0": "apache license version 2 0 january 2004", "GPL-3.0": "gnu general public license version 3 29 june 2007", "MPL-2.0": "mozilla public license version 2 0"}
+    rows = [(i, TEXTS[n].upper().replace(",", " ,")) for i, n in enumerate(names)] + [(50, TEXTS["Apache-2.0"][:-400])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.scan(df).collect()}
+    assert [got[i] for i in range(len(names))] == names and got[50] is None
+    sql = oracle(license_scan.oracle(), documents=pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert got == {r["doc_id"]: r["license_id"] if isinstance(r["license_id"], str) else None for r in sql}
+    for n, start in first.items():
+        assert " ".join("".join(c if c.isalnum() else " " for c in TEXTS[n].lower()).split()).startswith(start)
+
+
 # SimHash
 
 
