@@ -20,42 +20,47 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def windows(docs: DataFrame, width: int = WINDOW, short: bool = False) -> DataFrame:
     """One row per window that has a line with a word: place (late, id, th, line) and digest (h1, h2).
 
-    Blanks around a line do not count. late is true where doc_id is null, so that such rows come last.
+    Blanks around a line do not count. late is true where doc_id is null, so that such rows come last. short: a text of
+    fewer lines than a window is one window of all its lines, hashed with their number.
     """
     trimmed = F.transform(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(" \t\r")))
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), trimmed.alias("lines")).where(F.size("lines") >= width)
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), trimmed.alias("lines"))
+    rows = rows.where(F.isnotnull("lines") if short else F.size("lines") >= width)
 
     def digest(i: Column) -> Column:
         parts = [F.get("lines", i + k) for k in range(width)]
-        blank = F.length(F.concat(*parts)) == 0
+        blank = F.length(F.concat_ws("", *parts) if short else F.concat(*parts)) == 0
+        if short:
+            parts.append(F.least(F.size("lines"), F.lit(width)))
         return F.when(~blank, F.struct(i.alias("line"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2")))
 
-    places = F.transform(F.sequence(F.lit(0), F.size("lines") - width), digest)
+    last = F.size("lines") - width
+    places = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)) if short else last), digest)
     found = rows.select("id", "th", F.explode(places).alias("w")).where("w is not null")
     return found.select(F.struct(F.isnull("id").alias("late"), "id", "th", F.col("w.line").alias("line")).alias("place"), "w.h1", "w.h2")
 
 
-def later_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def later_windows(docs: DataFrame, width: int = WINDOW, short: bool = False) -> DataFrame:
     """__id, __th, __starts: the first lines, in order, of each document's windows that occur earlier elsewhere or in itself."""
-    every = windows(docs, width)
+    every = windows(docs, width, short)
     repeated = cut(every.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     # one window may be in a third of all documents: both sides are plain exchanges, which Spark splits where they are skewed
     later = every.join(repeated, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first")))
     return later.groupBy(F.col("place.id").alias("__id"), F.col("place.th").alias("__th")).agg(F.array_sort(F.collect_set("place.line")).alias("__starts"))
 
 
-def dedup_lines(docs: DataFrame, width: int = WINDOW, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, width: int = WINDOW, counts: bool = False, short: bool = False) -> DataFrame:
     """docs with text freed of later occurrences of repeated windows; all columns and rows are kept.
 
-    Documents with fewer lines than a window, null texts (they stay null) and empty texts are left alone; a document all of
-    whose lines are covered becomes the empty text. Equal rows of one doc_id count as one occurrence and come out alike.
+    Null texts (they stay null) and empty texts are left alone, and so are documents with fewer lines than a window unless
+    short is set: then all their lines are one window. A document all of whose lines are covered becomes the empty text. Equal rows of one doc_id count as one occurrence and come out alike.
     Rows without doc_id come after all others. counts adds n_lines and n_removed. An empty table gives an empty result.
     """
     rows = docs.withColumn("__key", F.xxhash64("text"))
-    later = later_windows(docs, width)
+    later = later_windows(docs, width, short)
     joined = rows.join(later, rows["doc_id"].eqNullSafe(later["__id"]) & (rows["__key"] == later["__th"]), "left")
     lines = _lines(rows["text"])
     starts = later["__starts"]
@@ -86,3 +91,18 @@ SELECT l.doc_id, CASE WHEN covered IS NULL THEN text
        CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(covered), 0) AS BIGINT) AS n_removed
 FROM l LEFT JOIN g USING (doc_id)
 """
+
+#: The same with short: a text of one or two lines is a window of all its lines.
+ORACLE_SHORT = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, ls, unnest(range(0, greatest(len(ls) - 2, 1))) AS pos FROM l WHERE text IS NOT NULL),
+w AS (SELECT doc_id, pos, least(pos + 3, len(ls)) AS last,
+        array_to_string(list_transform(ls[pos + 1 : pos + 3], lambda x: trim(x, chr(32) || chr(9) || chr(13))), chr(10)) AS k FROM p),
+r AS (SELECT doc_id, pos, last, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS n FROM w WHERE replace(k, chr(10), '') <> ''),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos + 1, last + 1)) AS line FROM r WHERE n > 1),
+g AS (SELECT doc_id, list(line) AS covered FROM c GROUP BY doc_id)
+SELECT l.doc_id, CASE WHEN covered IS NULL THEN text
+         ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(covered, i)), chr(10)), '') END AS text,
+       CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(covered), 0) AS BIGINT) AS n_removed
+FROM l LEFT JOIN g USING (doc_id)
+"""

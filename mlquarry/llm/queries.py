@@ -14,6 +14,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
+def op1_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, short=True)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op1_line_dedup_short": op1_line_dedup_short,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extract": op4_html_extract,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op1_line_dedup_short": line_dedup.ORACLE_SHORT,
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_license_scan": license_scan.oracle(),
     "op10_warc": warc.ORACLE,

@@ -110,6 +110,14 @@ def test_window_inside_one_document_and_overlaps(spark):
     assert row.text == "a b\nc d\ne f\ng h\nz"
 
 
+def test_short_texts_are_one_window(spark):
+    rows = [(1, "one"), (2, " one\t"), (3, "one\ntwo"), (4, "one\n two"), (5, "one\ntwo\nthree"), (6, "x\none\ntwo"), (7, ""), (8, " "), (9, None), (None, "one"), (10, "one\ntwo\n"), (11, "\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(df, counts=True, short=True).collect()}
+    assert got == {i: ("", len(t.split("\n"))) if i in (2, 4, None) else (t, 0) for i, t in rows}
+    assert all(r.n_removed == 0 for r in line_dedup.dedup_lines(df, counts=True).collect())
+
+
 # quality rules
 
 
