@@ -169,4 +169,28 @@ def fasttext_ngrams(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("lang").alias("word")).distinct().select("word", F.array_join(V.char_ngrams(F.col("word"), 3, 3), "|").alias("grams"))
 
 
+def all_words(spark, sf_dir):
+    """Distinct words of all documents."""
+    return docs(spark, sf_dir).select(F.explode(T.words_by_space(F.lower("text"))).alias("word")).distinct()
+
+
+GRAMS = "list_concat(" + ", ".join(f"list_transform(range(1, greatest(length(word) + {4 - n}, 1)), lambda i: substr('#' || word || '#', i::BIGINT, {n}))" for n in range(3, 7)) + ")"
+DISTINCT_WORDS = f"(SELECT DISTINCT term AS word FROM {TERMS})"
+
+
+@query("fasttext_word_ngrams", f"SELECT word, array_to_string({GRAMS}, '|') AS grams FROM {DISTINCT_WORDS}")
+def fasttext_word_ngrams(spark, sf_dir):
+    return all_words(spark, sf_dir).select("word", F.array_join(V.char_ngrams(F.col("word"), 3, 6), "|").alias("grams"))
+
+
+@query("subword_vectors", f"WITH g AS (SELECT word, unnest({GRAMS}) AS gram FROM {DISTINCT_WORDS}), v AS (SELECT gram, count(DISTINCT word) AS n FROM g GROUP BY gram) SELECT word, round(avg(n), 6) AS words, round(avg(length(gram)), 6) AS size FROM g JOIN v USING (gram) GROUP BY word")
+def subword_vectors(spark, sf_dir):
+    """Mean over a word's n-grams of the words that hold one, and of its length."""
+    own = all_words(spark, sf_dir)
+    vectors = own.select(F.explode(F.array_distinct(V.char_ngrams(F.col("word"), 3, 6))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    vectors = vectors.select("gram", F.array(F.col("n").cast("double"), F.length("gram").cast("double")).alias("v"))
+    found = V.subword_vectors(own, "word", vectors)
+    return rounded(found.select("word", F.col("v")[0].alias("words"), F.col("v")[1].alias("size")), "words", "size")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql
