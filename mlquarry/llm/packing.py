@@ -2,9 +2,9 @@
 
 Documents are tokenised, ended by END_ID, and only longer ones are cut. What matters for packing is how many pieces of
 each length there are, a histogram of at most `size` numbers, so the configuration linear program over it is solved on
-the driver: multiplicative weights rise on lengths that are not yet covered, and a knapsack dynamic program prices the
-best configuration for the weights. The fractional solution is rounded down and what is left goes by best fit over the
-same histogram. A configuration says which lengths share a sequence; the k-th piece of a length finds its sequence and
+the driver: multiplicative weights fall on lengths as they are covered, and a knapsack dynamic program prices the best
+configurations for the weights. The fractional solution is rounded down and what is left goes by best fit over the same
+histogram. A configuration says which lengths share a sequence; the k-th piece of a length finds its sequence and
 offset from k alone, so the pieces are placed where they are and never meet in one task.
 """
 
@@ -25,10 +25,16 @@ from .common import chunks, cut, empty_text
 
 SIZE = 1024
 END_ID = 2
-#: Rounds of multiplicative weights, and how far a round may cover a length.
-ROUNDS, STEP, RATE = 3000, 0.25, 0.5
+#: Multiplicative weights: rounds at most, the share of a length that one configuration may cover in a round, the rate of
+#: the weights and how far ahead of the others a length can count, how much less than the best a configuration may weigh.
+ROUNDS, STEP, RATE, AHEAD, SLACK = 300, 0.8, 0.0005, 3.0, 0.001
+#: How much a full-sized length counts as ahead of the others: long pieces go first while short ones are there to fill gaps.
+LONG = 2.0
+#: The share of all tokens below which best fit ends the fractional solution, by which part of a piece, and the share of a
+#: length below which it takes no part in a round.
+REST, GRAIN, CLOSED = 0.02, 1024, 0.001
 #: Shares of the fractional solution that are tried; what a share leaves goes by best fit.
-SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.05, 0.02, 0.0)
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.0)
 #: The word split of byte-level BPE (a fixed value of these tokenizers).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,7 +58,8 @@ class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, by the vocabulary of a tokenizers file.
 
     For a plain byte-level BPE whose ids follow its merges (checked here), the merges run in tiktoken, which gives the
-    same ids about four times as fast; any other file is left to tokenizers.
+    same ids about four times as fast; any other file is left to tokenizers. A special token that stands in a text gets
+    its own id, as tokenizers gives it.
     """
 
     def __init__(self, path: str):
@@ -62,13 +69,13 @@ class Encoder:
         if self.ranks:
             import tiktoken
 
-            self.engine = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=self.ranks, special_tokens={})
+            special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+            self.engine = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=self.ranks, special_tokens=special)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self.engine = Tokenizer.from_file(path)
-            self.engine.encode_special_tokens = True
 
     @staticmethod
     def plain_ranks(spec: dict) -> dict[bytes, int]:
@@ -77,6 +84,8 @@ class Encoder:
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         if model.get("type") != "BPE" or spec.get("normalizer") or any(split.get(k, v) != v for k, v in plain.items()) or split.get("type") != "ByteLevel":
             return {}
+        if any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip")):
+            return {}
         if model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
             return {}
         vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -88,7 +97,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if self.ranks:
-            return self.engine.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4").tobytes()
+            return self.engine.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
         return np.array(self.engine.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -134,45 +143,68 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_
     return source.mapInArrow(kernel, f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, task long, nth long" + ", ids array<int>" * with_ids).withColumn("piece", F.col("piece").cast("int"))
 
 
-def best_configuration(value: np.ndarray, size: int) -> dict[int, int]:
-    """The lengths, with how often each, of the most valuable sequence: an unbounded knapsack by dynamic programming.
+def knapsack(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to size the most value that fits into it, and the length to take first for that (0: leave one
+    place empty): an unbounded knapsack by dynamic programming.
 
     value[l - 1] is the value of a piece of length l, -inf where there is none.
     """
-    best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+    best, first = np.zeros(size + 1), np.zeros(size + 1, np.int64)
     for c in range(1, size + 1):
         gains = value[:c] + best[c - 1 :: -1]
         k = c - 1 - int(gains[::-1].argmax())  # of equal gains the longest piece: short ones are needed to fill gaps
-        best[c], last[c] = (gains[k], k + 1) if gains[k] > best[c - 1] else (best[c - 1], 0)
+        best[c], first[c] = (gains[k], k + 1) if gains[k] > best[c - 1] else (best[c - 1], 0)
+    return best, first
+
+
+def traced(first: np.ndarray, room: int) -> dict[int, int]:
+    """The lengths, with how often each, that knapsack() put into room."""
     chosen: dict[int, int] = {}
-    c = size
-    while c:
-        if last[c]:
-            chosen[int(last[c])] = chosen.get(int(last[c]), 0) + 1
-        c -= int(last[c]) or 1
+    while room:
+        if l := int(first[room]):
+            chosen[l] = chosen.get(l, 0) + 1
+        room -= l or 1
     return chosen
 
 
+def best_configuration(value: np.ndarray, size: int) -> dict[int, int]:
+    """The lengths, with how often each, of the most valuable sequence."""
+    return traced(knapsack(value, size)[1], size)
+
+
 def fractional(counts: np.ndarray, size: int, rounds: int = ROUNDS) -> dict[tuple, float]:
     """Configurations, as ((length, times), ...), and how often each is used, covering counts with nearly the least total.
 
-    A length weighs its tokens times exp(-RATE * the share of it that is covered), nothing once it is covered. Each round
-    the knapsack prices the configuration of most weight, which is then used until it has covered STEP more of the length
-    that it covers fastest; so the number of rounds depends on the number of lengths and not on their counts.
+    A token of a length weighs exp(RATE * how much more of this length is open than of all tokens), a factor that falls
+    with all that is covered, and slightly more the longer the piece. Each round one knapsack prices for every open length the best configuration that holds it;
+    those within SLACK of the best are used until STEP of what is open of one of their lengths is covered. So what is
+    open shrinks by factors, and the number of rounds depends on the number of lengths and not on their counts. The last
+    REST of the tokens go by best fit in GRAIN-ths of a piece.
     """
-    there = counts > 0
-    cover, used = np.zeros(size), {}
+    lengths, total = np.arange(1, size + 1), counts.astype(float)
+    left, tokens, used = total.copy(), float((total * np.arange(1, size + 1)).sum()), {}
     for _ in range(rounds):
-        open_ = there & (cover < 1 - 1e-9)
-        if not open_.any():
+        part = float((left * lengths).sum()) / max(tokens, 1.0)
+        if part < REST:
             break
-        value = np.where(open_, np.exp(-RATE * cover) * np.arange(1, size + 1), -np.inf)
-        chosen = {l: min(a, int(counts[l - 1])) for l, a in best_configuration(value, size).items()}
-        times = min(min(STEP, 1 - cover[l - 1]) * counts[l - 1] / a for l, a in chosen.items())
-        key = tuple(sorted(chosen.items(), reverse=True))
-        used[key] = used.get(key, 0.0) + times
-        for l, a in chosen.items():
-            cover[l - 1] += a * times / counts[l - 1]
+        open_ = left > CLOSED * part * total
+        ahead = np.minimum(left / np.maximum(total, 1) / part, AHEAD) - 1
+        value = np.where(open_, lengths * np.exp(RATE * (ahead + LONG * lengths / size)), -np.inf)
+        best, first = knapsack(value, size)
+        for l in (np.flatnonzero(open_)[::-1] + 1).tolist():
+            if value[l - 1] + best[size - l] < best[size] * (1 - SLACK):
+                continue
+            chosen = traced(first, size - l)
+            chosen[l] = chosen.get(l, 0) + 1
+            chosen = {k: min(a, int(counts[k - 1])) for k, a in chosen.items()}
+            times = min(STEP * left[k - 1] / a for k, a in chosen.items())
+            key = tuple(sorted(chosen.items(), reverse=True))
+            used[key] = used.get(key, 0.0) + times
+            for k, a in chosen.items():
+                left[k - 1] -= a * times
+    for config, n in best_fit(np.ceil(np.maximum(left, 0) * GRAIN).astype(np.int64), size).items():
+        key = tuple(sorted(config, reverse=True))
+        used[key] = used.get(key, 0.0) + n / GRAIN
     return used
 
 

@@ -466,7 +466,6 @@ def test_packing_is_whole_and_gapless(spark, docs, empty, texts):
 
     size = 256
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     got = packing.pack(docs, size=size).collect()
     used = defaultdict(list)
     for r in got:
@@ -499,7 +498,6 @@ def test_encoder_gives_the_tokenizers_ids():
 
     path = packing.default_tokenizer()
     plain, own = Tokenizer.from_file(path), packing.encoder(path)
-    plain.encode_special_tokens = True
     assert own.ranks
     samples = ["", " ", "a  b", "\n\n x", "it's 'll <|endoftext|>", "日本語 😀 ẞ ½ áb", prose(3, 500), "x \x1c y\x85z", "\t a\r\nb"]
     samples += ["".join(chr(random.Random(i).choice([*range(32, 1000), 0x4E2D, 0x1F600])) for _ in range(50)) for i in range(200)]
