@@ -173,3 +173,12 @@ SPELLINGS = {
     "wilful": "willful",
     "http": "https",
 }
+
+#: What counts as copyright lines wherever it stands, in words: the rest of a statement, and the places that licences leave open for one.
+STATEMENTS = (
+    "all rights reserved",
+    "copyright yyyy name of copyright owner",
+    "copyright c year name of author",
+    "copyright c yyyy name of author",
+    "copyright c 19yy name of author",
+)

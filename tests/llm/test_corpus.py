@@ -368,6 +368,36 @@ def test_license_scan_knows_the_long_licences(spark):
         assert " ".join("".join(c if c.isalnum() else " " for c in TEXTS[n].lower()).split()).startswith(start)
 
 
+def test_license_scan_does_not_depend_on_line_ends(spark, tmp_path):
+    """Every known text at several widths, through the query over a whole table and through its SQL."""
+    import textwrap
+
+    import pandas as pd
+
+    from mlquarry.llm import queries
+
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(" ".join(x.split()), width, break_long_words=False, break_on_hyphens=False) for x in text.split("\n\n"))
+
+    names = [n for n in TEXTS if not n.endswith("notice")]
+    rows, want = [], []
+    for n in names:
+        for k, made in enumerate((wrapped(TEXTS[n], 60), wrapped(TEXTS[n], 72), wrapped(TEXTS[n], 100_000), "Copyright (c) 2021 A. Person\n\n" + wrapped(TEXTS[n], 50))):
+            rows.append((10 * len(want) + k, made))
+            want.append(n)
+    rows.append((-1, "Copyright 2020 An Owner\n" + prose(1, 60)))
+    frame = pd.DataFrame(rows, columns=["doc_id", "text"])
+    frame.to_parquet(tmp_path / "documents.parquet")
+    got = {r.doc_id: r.license_id for r in queries.op5_license_scan(spark, f"file://{tmp_path}").collect()}
+    assert [got[i] for i, _ in rows[:-1]] == want and got[-1] is None
+    sql = oracle(license_scan.oracle(), documents=frame)
+    assert {r["doc_id"]: r["license_id"] if isinstance(r["license_id"], str) else None for r in sql} == got
+    filled = TEXTS["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2019 Some Company, Inc.")
+    other = TEXTS["MIT"].replace("copies of the Software", "copies of the software\ncopyright notice")
+    rest = spark.createDataFrame([(1, filled), (2, other), (3, TEXTS["MIT"] + "\ncopyright law is not the matter here")], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in license_scan.scan(rest).collect()} == {1: "Apache-2.0", 2: None, 3: None}
+
+
 # SimHash
 
 
