@@ -1,11 +1,13 @@
-"""Scoring texts by a log-bilinear language model over word classes.
+"""Scoring texts by a log-bilinear language model.
 
-Counting covers every training text: each token's count, and how often each class follows each pair of classes. The
-vocabulary has no bound, so a token's probability is that of its class times its share of the class: the TOP most
-frequent tokens have a class each, all others fall into TAIL classes by their endings. The class model is log-bilinear:
-the vectors of the two classes before, each weighed by its place, are added and multiplied with the vector of the class
-to come, plus its bias. It is trained in numpy with noise-contrastive estimation on draws from the whole counts. One
-batched matrix product over all contexts then gives log-probabilities that are normalised, as a table.
+Counting covers every training text: each token's count, how often each class follows each pair of classes, and how often
+each output follows each class. Outputs are the OUT most frequent tokens, one by one, and TAIL classes of endings for all
+others, since the vocabulary has no bound; such a token's probability is that of its class times its share of the class.
+The context is the two tokens before as classes, of which the TOP most frequent tokens have one each. The model is
+log-bilinear: the vectors of the two classes, each weighed by its place, are added and multiplied with the vector of the
+output to come, plus its bias. It is trained in numpy with noise-contrastive estimation on draws from the whole counts,
+the more the more tokens there are. One batched matrix product over all contexts and outputs then gives the sums that
+normalise the log-probabilities.
 
 Counts of the KNOWN most frequent tokens are broadcast; the texts' other tokens meet their counts in a join.
 """
@@ -29,13 +31,17 @@ from .common import chunks, cut, empty_text
 FOLDS, HELD_OUT = 7, 2
 #: The end of a text; no word is a line end.
 END = b"\n"
-TOP, TAIL = 64, 64
+TOP, TAIL, OUT = 64, 64, 8192
 CLASSES = TOP + TAIL
 #: Tokens whose counts every worker holds.
 KNOWN = 50_000
 #: Distinct tokens after which a task passes its counts on, and tokens beyond the known ones that a worker remembers.
 FLUSH, MEMORY = 60_000, 100_000
-SIZE, BATCH, ROUNDS, NOISE, RATE, SEED = 32, 2048, 2500, 64, 0.01, 7
+SIZE, BATCH, NOISE, RATE, SEED = 32, 2048, 128, 0.003, 7
+#: Rounds of training, and how many more for every doubling of the tokens from MILLION on.
+ROUNDS, MORE_ROUNDS, MILLION = 1500, 200, 1_000_000
+#: Contexts multiplied with all outputs at a time.
+CONTEXTS = 512
 SIGNS = b".,;:!?"
 
 
@@ -77,37 +83,54 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Known(dict):
-    """Tokens to small ids with the class and log10(count + 1) of each; what is not among the known ones is nan."""
+    """Tokens to small ids with the class, output and log10(count + 1) of each; the counts of what is not among the known
+    ones are not here. Outputs are the TAIL classes of endings, then OUT known tokens."""
 
     def __init__(self, known: list[tuple[bytes, int]]):
         super().__init__((t, i) for i, (t, _) in enumerate(known))
         self.known = len(known)
         self.names = [t for t, _ in known]
         self.classes = [i if i < TOP else tail_class(t) for i, (t, _) in enumerate(known)]
+        self.outputs = [TAIL + i if i < OUT else tail_class(t) - TOP for i, (t, _) in enumerate(known)]
         self.logs = np.log10(np.array([c for _, c in known], float) + 1)
 
     def __missing__(self, token: bytes) -> int:
         self[token] = found = len(self.names)
         self.names.append(token)
-        self.classes.append(tail_class(token))
+        self.classes.append(k := tail_class(token))
+        self.outputs.append(k - TOP)
         return found
 
     def forget(self) -> None:
         if len(self.names) > self.known + MEMORY:
             for token in self.names[self.known :]:
                 del self[token]
-            del self.names[self.known :], self.classes[self.known :]
+            del self.names[self.known :], self.classes[self.known :], self.outputs[self.known :]
+
+
+class Network(NamedTuple):
+    """queries: a vector for each context; vectors and bias of each output; sums: ln of the sum over outputs for each context."""
+
+    queries: np.ndarray
+    vectors: np.ndarray
+    bias: np.ndarray
+    sums: np.ndarray
+
+    def log10(self, context: np.ndarray, output: np.ndarray) -> np.ndarray:
+        """log10 of the probability of outputs after contexts."""
+        scores = np.einsum("ij,ij->i", self.queries[context], self.vectors[output]) + self.bias[output]
+        return (scores - self.sums[context]) / np.log(10)
 
 
 class Model(NamedTuple):
-    """known: tokens and counts, most frequent first; total and distinct tokens; shares: log10 of each class's
-    tokens + distinct tokens + 1; table: log10 of the probability of a class after two others, flat."""
+    """known: tokens and counts, most frequent first; total and distinct tokens; shares: for each output log10 of what its
+    tokens' counts + 1 are shares of; network: the probabilities of outputs."""
 
     known: list[tuple[bytes, int]]
     total: int
     distinct: int
     shares: np.ndarray
-    table: np.ndarray
+    network: Network
 
 
 def contexts(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -119,71 +142,98 @@ def contexts(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return two * CLASSES + one
 
 
-def class_counts(docs: DataFrame, known: list[tuple[bytes, int]]) -> np.ndarray:
-    """How often each class follows each context, as a matrix of CLASSES ** 2 rows."""
+def class_counts(docs: DataFrame, known: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each class follows each context, as a matrix of CLASSES ** 2 rows, and each output each class before it."""
     held = docs.sparkSession.sparkContext.broadcast(known)
+    outputs = TAIL + min(OUT, len(known))
+    width = CLASSES**2 + outputs
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, total = Known(held.value), np.zeros(CLASSES**3, np.int64)
+        lookup, total = Known(held.value), np.zeros((CLASSES, width), np.int64)
         for batch in chunks(batches):
             lookup.forget()
             split = [tokens(t) for t in empty_text(batch.column(0).to_pylist())]
             lengths = np.fromiter(map(len, split), np.int64, len(split))
             ids = np.fromiter((lookup[t] for x in split for t in x), np.int64, int(lengths.sum()))
-            classes = np.array(lookup.classes, np.int64)[ids]
-            at, n = np.unique(contexts(classes, np.cumsum(lengths) - lengths) * CLASSES + classes, return_counts=True)
-            total[at] += n
+            classes, out = np.array(lookup.classes, np.int64)[ids], np.array(lookup.outputs, np.int64)[ids]
+            context = contexts(classes, np.cumsum(lengths) - lengths)
+            two, one = np.divmod(context, CLASSES)
+            for row, column in ((two, one * CLASSES + classes), (one, CLASSES**2 + out)):
+                at, n = np.unique(row * width + column, return_counts=True)
+                total.reshape(-1)[at] += n
         yield from blocks.emit(total, CLASSES)
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(kernel, blocks.SCHEMA)
-    return blocks.summed(rows, CLASSES, CLASSES**3).reshape(CLASSES**2, CLASSES)
+    found = blocks.summed(rows, CLASSES, CLASSES * width).reshape(CLASSES, width)
+    return found[:, : CLASSES**2].reshape(CLASSES**2, CLASSES), found[:, CLASSES**2 :]
+
 
+def log_bilinear(counts: np.ndarray, pairs: np.ndarray, classes: np.ndarray) -> Network:
+    """A log-bilinear model trained with noise-contrastive estimation on draws from counts: a context with the class to
+    come from counts, then an output of this class from pairs, the counts of outputs after the last class.
 
-def log_bilinear(counts: np.ndarray) -> np.ndarray:
-    """ln of the probability of each class after each context, from a log-bilinear model trained with noise-contrastive
-    estimation on draws from counts."""
+    classes: the class of each output; a class of endings has an output of its own and those of its frequent tokens.
+    """
     random = np.random.default_rng(SEED)
-    flat = np.flatnonzero(counts)
-    noise = (counts.sum(axis=0) + 1.0) / (counts.sum() + CLASSES)
-    vectors = [*random.normal(0, 0.1, (3, CLASSES, SIZE)).astype(np.float32), np.log(noise).astype(np.float32)]
+    flat, outputs, tokens_ = np.flatnonzero(counts), len(classes), int(counts.sum())
+    seen = pairs.sum(axis=0)
+    noise = (seen + 1.0) / (seen.sum() + outputs)
+    a, b = random.normal(0, 0.1, (2, CLASSES, SIZE)).astype(np.float32)
+    vectors = [a, b, np.zeros((outputs, SIZE), np.float32), np.log(noise).astype(np.float32)]
     if flat.size:
         mass, spread, log_noise = np.cumsum(counts.reshape(-1)[flat]), np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
+        order = np.argsort(classes, kind="stable")  # outputs by class, so that a class after a class is a range of ranks
+        ranks = np.concatenate(([0], np.cumsum(pairs[:, order].reshape(-1))))
+        begin, end = (np.searchsorted(classes[order], np.arange(CLASSES), side=x) for x in ("left", "right"))
         first, second = [np.zeros_like(p) for p in vectors], [np.zeros_like(p) for p in vectors]
         hot = np.eye(CLASSES, dtype=np.float32)
-        for round_ in range(1, ROUNDS + 1):
+        rounds = ROUNDS + int(MORE_ROUNDS * max(0.0, np.log2(tokens_ / MILLION)))
+        for round_ in range(1, rounds + 1):
             drawn = flat[np.searchsorted(mass, random.integers(0, mass[-1], BATCH), side="right")]
-            context, word = np.divmod(drawn, CLASSES)
+            context, kind = np.divmod(drawn, CLASSES)
             two, one = np.divmod(context, CLASSES)
-            other = np.minimum(np.searchsorted(spread, random.random(NOISE)), CLASSES - 1)
+            low, high = ranks[one * outputs + begin[kind]], ranks[one * outputs + end[kind]]
+            rank = low + (random.random(BATCH) * (high - low)).astype(np.int64)
+            word = order[(np.searchsorted(ranks, rank, side="right") - 1) % outputs]
+            other = np.minimum(np.searchsorted(spread, random.random(NOISE)), outputs - 1)
             a, b, out, bias = vectors
             q = a[two] + b[one]
             own = np.einsum("ij,ij->i", q, out[word]) + bias[word] - log_noise[word]
             false = q @ out[other].T + bias[other] - log_noise[other]
-            d_own, d_false = 1 / (1 + np.exp(-own)) - 1, 1 / (1 + np.exp(-false))
-            by_class = (d_false @ hot[other] + d_own[:, None] * hot[word]) / np.float32(BATCH)
-            d_q = by_class @ out
-            rate = np.float32(RATE * min(1.0, 2 * (1 - round_ / (ROUNDS + 1))))
-            for i, g in enumerate((hot[two].T @ d_q, hot[one].T @ d_q, by_class.T @ q, by_class.sum(axis=0))):
+            d_own, d_false = (1 / (1 + np.exp(-own)) - 1) / np.float32(BATCH), 1 / (1 + np.exp(-false)) / np.float32(BATCH)
+            d_q = d_false @ out[other] + d_own[:, None] * out[word]
+            d_out, d_bias = np.zeros_like(out), np.zeros_like(bias)
+            np.add.at(d_out, word, d_own[:, None] * q)
+            np.add.at(d_out, other, d_false.T @ q)
+            np.add.at(d_bias, word, d_own)
+            np.add.at(d_bias, other, d_false.sum(axis=0))
+            rate = np.float32(RATE * min(1.0, 2 * (1 - round_ / (rounds + 1))))
+            for i, g in enumerate((hot[two].T @ d_q, hot[one].T @ d_q, d_out, d_bias)):
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 vectors[i] = vectors[i] - rate * first[i] / (1 - 0.9**round_) / (np.sqrt(second[i] / (1 - 0.999**round_)) + 1e-8)
-    a, b, out, bias = (v.astype(float) for v in vectors)
+    a, b, out, bias = vectors
     queries = (a[:, None, :] + b[None, :, :]).reshape(-1, SIZE)
-    scores = queries @ out.T + bias
-    most = scores.max(axis=1, keepdims=True)
-    return scores - most - np.log(np.exp(scores - most).sum(axis=1, keepdims=True))
+    sums = np.empty(len(queries))
+    for at in range(0, len(queries), CONTEXTS):
+        scores = (queries[at : at + CONTEXTS] @ out.T + bias).astype(float)
+        most = scores.max(axis=1)
+        sums[at : at + CONTEXTS] = most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+    return Network(queries, out, bias, sums)
 
 
-def trained(spark: SparkSession, counts: np.ndarray) -> np.ndarray:
-    """log_bilinear(counts) in one task: workers keep to one thread, and the driver holds no training state."""
-    held = spark.sparkContext.broadcast(counts)
+def trained(spark: SparkSession, counts: np.ndarray, pairs: np.ndarray, classes: np.ndarray) -> Network:
+    """log_bilinear() in one task: workers keep to one thread, and the driver holds no training state."""
+    held = spark.sparkContext.broadcast((counts, pairs, classes))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([log_bilinear(held.value).tobytes()], pa.binary())], names=["table"])
+            made = log_bilinear(*held.value)
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64 if i == 3 else np.float32).tobytes()], pa.binary()) for i, x in enumerate(made)], names=list(Network._fields))
 
-    found = spark.range(1, numPartitions=1).mapInArrow(kernel, "table binary").toArrow()
-    return np.frombuffer(found["table"][0].as_py()).reshape(counts.shape)
+    found = spark.range(1, numPartitions=1).mapInArrow(kernel, ", ".join(f"{f} binary" for f in Network._fields)).toArrow()
+    queries, vectors, bias = (np.frombuffer(found[f][0].as_py(), np.float32) for f in Network._fields[:3])
+    return Network(queries.reshape(-1, SIZE), vectors.reshape(-1, SIZE), bias, np.frombuffer(found["sums"][0].as_py()))
 
 
 def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
@@ -209,20 +259,23 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = cut(token_counts(docs))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     known = most_frequent(counts)
-    held = docs.sparkSession.sparkContext.broadcast({t: i for i, (t, _) in enumerate(known[:TOP])})
+    lookup = Known(known)
+    single = docs.sparkSession.sparkContext.broadcast({t for t, _ in known[:OUT]})
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = held.value
+        own = single.value
         for batch in batches:
-            classes = [top[t] if t in top else tail_class(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), batch.column(1)], names=["k", "c"])
+            names = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([-1 if t in own else tail_class(t) - TOP for t in names], pa.int32()), batch.column(1)], names=["k", "c"])
 
-    classed = counts.mapInArrow(kernel, "k int, c long").groupBy("k").agg((F.sum("c") + F.count("*")).alias("n"))
-    sizes = np.zeros(CLASSES)
-    for row in classed.collect():  # at most CLASSES rows
+    classed = counts.mapInArrow(kernel, "k int, c long").where("k >= 0").groupBy("k").agg((F.sum("c") + F.count("*")).alias("n"))
+    sizes = np.zeros(TAIL)
+    for row in classed.collect():  # at most TAIL rows
         sizes[row.k] = row.n
-    table = trained(docs.sparkSession, class_counts(docs, known)).reshape(-1) / np.log(10)
-    return Model(known, int(total), int(distinct), np.log10(sizes + 1), table), counts
+    n = min(OUT, len(known))
+    classes = np.array([*range(TOP, CLASSES), *lookup.classes[:n]])
+    network = trained(docs.sparkSession, *class_counts(docs, known), classes)
+    return Model(known, int(total), int(distinct), np.concatenate((np.log10(sizes + 1), lookup.logs[:n])), network), counts
 
 
 def score_with(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -239,8 +292,8 @@ def score_with(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             n = np.fromiter(map(len, split), np.int64, len(split))
             ids = np.fromiter((lookup[t] for x in split for t in x), np.int64, int(n.sum()))
             doc, starts = np.repeat(np.arange(n.size), n), np.cumsum(n) - n
-            classes = np.array(lookup.classes, np.int64)[ids]
-            logs = own.table[contexts(classes, starts) * CLASSES + classes] - own.shares[classes]
+            classes, out = np.array(lookup.classes, np.int64)[ids], np.array(lookup.outputs, np.int64)[ids]
+            logs = own.network.log10(contexts(classes, starts), out) - own.shares[out]
             sure = ids < lookup.known
             head = np.bincount(doc[sure], weights=lookup.logs[ids[sure]], minlength=n.size)
             rare = ids[~sure] - lookup.known

@@ -517,16 +517,32 @@ def test_lm_score_counts_and_normalisation(spark, docs, empty, texts):
     assert all(r.score < 0 for r in got)
     assert lm_score.score(empty).collect() == []
     model, counts = lm_score.train(docs)
-    table = 10.0 ** model.table.reshape(-1, lm_score.CLASSES)
-    assert np.allclose(table.sum(axis=1), 1)
-    # the shares of a class's tokens and one unseen add up to 1
-    sums = defaultdict(float)
+    net, n_known = model.network, min(lm_score.OUT, len(model.known))
+    single = {t: lm_score.TAIL + i for i, (t, _) in enumerate(model.known[:n_known])}
     top = {t: i for i, (t, _) in enumerate(model.known[: lm_score.TOP])}
-    for r in counts.collect():
-        t = bytes(r.token)
-        k = top.get(t, lm_score.tail_class(t))
-        sums[k] += (r.c + 1) / 10 ** model.shares[k]
-    assert all(s + 1 / 10 ** model.shares[k] == pytest.approx(1) for k, s in sums.items())
+    every = np.arange(lm_score.TAIL + n_known)
+    # the shares of an output's tokens and one unseen add up to 1
+    sums, found = defaultdict(float), {bytes(r.token): r.c for r in counts.collect()}
+    for t, k in found.items():
+        o = single.get(t, lm_score.tail_class(t) - lm_score.TOP)
+        sums[o] += (k + 1) / 10 ** model.shares[o]
+    assert all(s + (1 / 10 ** model.shares[o] if o < lm_score.TAIL else 0) == pytest.approx(1) for o, s in sums.items())
+    # every score anew, token by token, with the probabilities of all outputs after each context
+    plain = {}
+    for i, text in texts[:20] + texts[30:42]:
+        score, two, one = 0.0, 0, 0
+        for t in lm_score.tokens(text or ""):
+            logits = net.vectors.astype(float) @ net.queries[two * lm_score.CLASSES + one].astype(float) + net.bias
+            o = single.get(t, lm_score.tail_class(t) - lm_score.TOP)
+            assert len(logits) == len(every)
+            score += math.log10((found.get(t, 0) + 1) / 10 ** model.shares[o]) + (logits[o] - np.logaddexp.reduce(logits)) / math.log(10)
+            two, one = one, top.get(t, lm_score.tail_class(t))
+        plain.setdefault(i, []).append(score)
+    again = defaultdict(list)
+    for r in lm_score.score_with(docs, model, counts).collect():
+        again[r.doc_id].append(r.score)
+    for i, scores in plain.items():
+        assert all(any(x == pytest.approx(y, rel=1e-4, abs=1e-3) for y in again[i]) for x in scores), i
 
 
 def test_lm_score_by_join_equals_lookup(docs, monkeypatch):
@@ -541,10 +557,17 @@ def test_log_bilinear_learns_context():
     for two in range(4):
         for one in range(4):
             counts[two * lm_score.CLASSES + one, [(one + 1) % 4, two]] += 1000
-    table = lm_score.log_bilinear(counts)
-    assert np.allclose(np.exp(table).sum(axis=1), 1)
-    nll = -(counts * table).sum() / counts.sum()
-    assert nll < math.log(4) * 0.7  # better than without context
+    classes = np.array([*range(lm_score.TOP, lm_score.CLASSES), *range(4)])  # each class has one output
+    pairs = np.zeros((lm_score.CLASSES, len(classes)), np.int64)
+    for one in range(4):
+        for k in range(4):
+            pairs[one, lm_score.TAIL + k] = counts[one :: lm_score.CLASSES, k].sum()
+    net = lm_score.log_bilinear(counts, pairs, classes)
+    context, kind = np.nonzero(counts)
+    logs = net.log10(context, lm_score.TAIL + kind) * math.log(10)
+    assert -(counts[context, kind] * logs).sum() / counts.sum() < math.log(4) * 0.7  # better than without context
+    for c in context[:8]:
+        assert np.exp(net.log10(np.full(len(classes), c), np.arange(len(classes))) * math.log(10)).sum() == pytest.approx(1, abs=1e-4)
 
 
 # decontamination
