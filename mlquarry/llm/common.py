@@ -21,14 +21,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only if the session names none."""
+    """The folder that driver and executors share, spark.checkpoint.dir; a folder of our own only where the session names
+    none and all of Spark runs on this machine."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="mlquarry-"))
     return found or context._jsc.sc().getCheckpointDir().get()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours, through the file system that its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, so that losing an executor costs nothing that came before."""
     shared_dir(df.sparkSession)
@@ -40,9 +57,10 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
 
     Left rows of a key go to SPREAD partitions by the columns salt (all of them if not given), and each right row to all.
     """
+    at = fresh(left, fresh(right, "__salt"))
     part = F.pmod(F.xxhash64(*[left[c] for c in salt or left.columns]), F.lit(SPREAD)).cast("int")
     copies = F.explode(F.array(*[F.lit(i) for i in range(SPREAD)]))
-    return left.withColumn("__salt", part).join(right.withColumn("__salt", copies), [key, "__salt"], how).drop("__salt")
+    return left.withColumn(at, part).join(right.withColumn(at, copies), [key, at], how).drop(at)
 
 
 def text_hash(text: Column | str) -> Column:

@@ -2,12 +2,13 @@
 
 A window of as many words as an item is compared with it: both get a 64-bit SimHash over their shingles of five words,
 and the pair is a candidate if the fingerprints differ in at most RADIUS bits. Fingerprints of items are indexed by
-BLOCKS blocks: within RADIUS = 16 bits, one of 8 blocks differs in at most 2, and for every block and value the items
+BLOCKS blocks: within RADIUS = 23 bits, one of 8 blocks differs in at most 2, and for every block and value the items
 that near are listed beforehand, so no fingerprint within the radius is missed. Candidates are then verified by the exact
 similarity of their weighted shingles: shared over all, each counted as often as it occurs.
 
-Only windows that share a shingle with an item of their size are fingerprinted; all others have similarity 0. The items
-are a query set: they go to the tasks in blocks of ITEMS, and documents are read where they are, with no shuffle.
+Only windows of a text that shares a shingle with an item of their size are fingerprinted, and only compared with such
+items; all others have similarity 0. The items are a query set: they go to the tasks in blocks of at most ITEMS items and
+CHARS characters, and documents are read where they are, with no shuffle.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 from .common import chunks, empty_text
 
 WIDTH, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS, BITS = 16, 8, 8
-#: Items that a task holds at a time.
-ITEMS = 20_000
+RADIUS, BLOCKS, BITS = 23, 8, 8
+#: Items that a task holds at a time, and their characters (a longer item is a block of its own).
+ITEMS, CHARS = 20_000, 20_000_000
 #: Words whose hash a worker remembers, and windows fingerprinted at a time.
 MEMORY, WINDOWS = 600_000, 4096
 WORD = re.compile(r"\w+")
@@ -84,16 +85,20 @@ class Items:
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.by_size = {int(n): np.flatnonzero(self.sizes == n) for n in np.unique(self.sizes)}
         prints = np.zeros(len(self.words), np.uint64)
-        owners: dict[int, dict[int, set[int]]] = {}
+        owners: dict[int, dict[int, dict[int, set[int]]]] = {}
         for j, words in enumerate(self.words):
             width = min(WIDTH, len(words))
             own = shingles(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), width)
             prints[j] = windows(own, np.array([0]), own.size)[0]
             for h in own.tolist():
-                owners.setdefault(width, {}).setdefault(h, set()).add(len(words))
+                owners.setdefault(width, {}).setdefault(h, {}).setdefault(len(words), set()).add(j)
         self.prints = prints
-        #: for each width the hashes of shingles in order, and the sizes of the items that hold each
-        self.widths = {w: (np.array(sorted(x), np.uint64), [sorted(x[h]) for h in sorted(x)]) for w, x in owners.items()}
+        #: the place of each item among those of its size
+        self.place = np.zeros(len(self.words), np.int64)
+        for own in self.by_size.values():
+            self.place[own] = np.arange(own.size)
+        #: for each width the hashes of shingles in order, and by size the items that hold each
+        self.widths = {w: (np.array(sorted(x), np.uint64), [{n: sorted(own) for n, own in x[h].items()} for h in sorted(x)]) for w, x in owners.items()}
         self.near: dict[int, np.ndarray] = {}
 
     def table(self, size: int) -> np.ndarray:
@@ -105,22 +110,25 @@ class Items:
             self.near[size] = np.array([np.bitwise_count(values[:, None] ^ p) <= RADIUS // BLOCKS for p in parts])
         return self.near[size]
 
-    def candidates(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
-        """(window, item) within RADIUS bits, by the index."""
-        near = self.table(size)
-        found = np.zeros((prints.size, near.shape[2]), bool)
+    def candidates(self, prints: np.ndarray, size: int, among: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """(window, item) within RADIUS bits, by the index; only items among those of this size, if given."""
+        near, among = self.table(size), self.by_size[size] if among is None else among
+        columns = self.place[among]
+        found = np.zeros((prints.size, among.size), bool)
         for b in range(BLOCKS):
-            found |= near[b][((prints >> np.uint64(BITS * b)) & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+            values = ((prints >> np.uint64(BITS * b)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            found |= near[b][values[:, None], columns[None, :]]
         at, item = np.nonzero(found)
-        item = self.by_size[size][item]
+        item = among[item]
         close = np.bitwise_count(prints[at] ^ self.prints[item]) <= RADIUS
         return list(zip(at[close].tolist(), item[close].tolist(), strict=True))
 
-    def matches(self, words: list[str], hashed: np.ndarray, touched: dict[int, np.ndarray]) -> dict[int, tuple[float, int]]:
+    def matches(self, words: list[str], hashed: np.ndarray, touched: dict[int, tuple[list[int], set[int]]]) -> dict[int, tuple[float, int]]:
         """Item to its largest similarity in a text, and where it first starts. touched: for each size of window the
-        places of shingles that items of this size hold."""
+        places of shingles that items of this size hold, and these items."""
         best: dict[int, tuple[float, int]] = {}
-        for size, places in touched.items():
+        for size, (at_places, owners) in touched.items():
+            places, among = np.array(at_places), np.array(sorted(owners))
             width = min(WIDTH, size)
             count, last = size - width + 1, len(words) - size
             if last < 0:
@@ -137,7 +145,7 @@ class Items:
                 # a stretch per run of starts, so that far windows do not cost what lies between
                 for run in np.split(part, np.flatnonzero(np.diff(part) > count) + 1):
                     own = shingles(hashed[run[0] : run[-1] + size], width)
-                    for k, item in self.candidates(windows(own, run - run[0], count), size):
+                    for k, item in self.candidates(windows(own, run - run[0], count), size, among):
                         s = int(run[k])
                         value = similarity(words[s : s + size], self.words[item], width)
                         if value >= SIMILARITY and value > best.get(item, (0.0, 0))[0]:
@@ -153,8 +161,8 @@ def search(texts: list[str], items: Items) -> list[dict[int, tuple[float, int]]]
     n = np.fromiter(map(len, split), np.int64, len(split))
     hashed = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(n.sum()))
     starts = np.cumsum(n) - n
-    touched: list[dict[int, list[int]]] = [{} for _ in texts]
-    for width, (known, sizes) in items.widths.items():
+    touched: list[dict[int, tuple[list[int], set[int]]]] = [{} for _ in texts]
+    for width, (known, owners) in items.widths.items():
         own = shingles(hashed, width)
         if not own.size:
             continue
@@ -163,19 +171,23 @@ def search(texts: list[str], items: Items) -> list[dict[int, tuple[float, int]]]
         docs = np.searchsorted(starts, hits, side="right") - 1
         inside = hits + width <= starts[docs] + n[docs]
         for p, d, k in zip(hits[inside].tolist(), docs[inside].tolist(), at[hits[inside]].tolist(), strict=True):
-            for size in sizes[k]:
-                touched[d].setdefault(size, []).append(p - int(starts[d]))
-    return [items.matches(w, hashed[s : s + len(w)], {k: np.array(v) for k, v in t.items()}) if t else {} for w, s, t in zip(split, starts.tolist(), touched, strict=True)]
+            for size, found in owners[k].items():
+                places, own_items = touched[d].setdefault(size, ([], set()))
+                places.append(p - int(starts[d]))
+                own_items.update(found)
+    return [items.matches(w, hashed[s : s + len(w)], t) if t else {} for w, s, t in zip(split, starts.tolist(), touched, strict=True)]
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The items in blocks of ITEMS, in no particular order."""
-    held = []
+    """The items in blocks of ITEMS and CHARS at most, in no particular order."""
+    held, chars = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == ITEMS:
+        more = len(row[1] or "")
+        if held and (len(held) == ITEMS or chars + more > CHARS):
             yield Items(held)
-            held = []
+            held, chars = [], 0
+        held.append((row[0], row[1]))
+        chars += more
     yield Items(held)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 WINDOW = 3
 
@@ -56,12 +56,14 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW, counts: bool = False, shor
     """docs with text freed of later occurrences of repeated windows; all columns and rows are kept.
 
     Null texts (they stay null) and empty texts are left alone, and so are documents with fewer lines than a window unless
-    short is set: then all their lines are one window. A document all of whose lines are covered becomes the empty text. Equal rows of one doc_id count as one occurrence and come out alike.
+    short is set: then all their lines are one window. A document all of whose lines are covered becomes the empty text.
+    Equal rows of one doc_id count as one occurrence and come out alike. Columns of any name pass through.
     Rows without doc_id come after all others. counts adds n_lines and n_removed. An empty table gives an empty result.
     """
-    rows = docs.withColumn("__key", F.xxhash64("text"))
+    key = fresh(docs, "__key")
+    rows = docs.withColumn(key, F.xxhash64("text"))
     later = later_windows(docs, width, short)
-    joined = rows.join(later, rows["doc_id"].eqNullSafe(later["__id"]) & (rows["__key"] == later["__th"]), "left")
+    joined = rows.join(later, rows["doc_id"].eqNullSafe(later["__id"]) & (rows[key] == later["__th"]), "left")
     lines = _lines(rows["text"])
     starts = later["__starts"]
     none = F.array().cast("array<int>")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, spread_join
+from .common import chunks, cut, fresh, spread_join
 
 RADIUS = 3
 GROUP_LIMIT = 1 << 16
@@ -211,6 +211,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     groups = near_duplicates(docs)
     kept = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("late"), "doc_id", "th")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
-    rows = docs.withColumn("__key", F.xxhash64("text"))
-    found = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__key"] == kept["__th"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    key = fresh(docs, "__key")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    found = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows[key] == kept["__th"]), "left_semi")
+    return found.dropDuplicates(["doc_id", key]).drop(key)

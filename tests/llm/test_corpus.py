@@ -618,6 +618,23 @@ def test_every_fingerprint_in_the_radius_is_a_candidate():
         assert (0, j) in items.candidates(np.array([p], np.uint64), 30)
 
 
+def test_decontamination_finds_edited_items():
+    """Items with replaced words at every place: whatever is 0.8 alike or more is found, each edit at its exact similarity."""
+    own = random.Random(4)
+    rows = [(i, prose(800 + i, 30 + i)) for i in range(40)]
+    items = decontaminate.Items(rows)
+    found = total = 0
+    for i, text in rows:
+        for k in range(0, 30 + i, 3):
+            words = text.split()
+            words[k] = own.choice(WORDS)
+            edited = prose(own.randrange(99), 20) + " " + " ".join(words) + " " + prose(own.randrange(99), 20)
+            if decontaminate.similarity(decontaminate.words_of(" ".join(words)), items.words[i], 5) >= 0.8:
+                total += 1
+                found += i in decontaminate.search([edited], items)[0]
+    assert total > 100 and found == total
+
+
 # packing
 
 
@@ -775,3 +792,30 @@ def schema_names(schema):
     return [x.split()[0] for x in schema.split(", ")]
 
 
+
+
+def test_columns_with_clashing_names_pass_through(spark):
+    """Values of columns that are called like the operators' own helpers come out as they went in."""
+    from pyspark.sql import functions as F
+
+    names = ["__key", "__salt", "__id", "__th", "__starts", "__KEY_", "key", "node", "root", "late"]
+    lines = "\n".join(prose(i, 8) for i in range(4))
+    rows = [(i, lines if i % 2 else prose(i, 60), *[f"{n}{i}" for n in names]) for i in range(6)]
+    for case in (names[:5], names[5:], ["__key", "__key_"]):
+        df = spark.createDataFrame(rows, ["doc_id", "text", *names]).select(F.col("doc_id"), "text", *case)
+        want = {r[0]: r[2:] for r in df.collect()}
+        for out in (line_dedup.dedup_lines(df), near_dedup.keep_first(df), simhash.keep_first(df)):
+            assert out.columns == df.columns
+            found = out.collect()
+            assert found and all(r[2:] == want[r[0]] for r in found)
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from mlquarry.llm.common import shared_dir
+
+    empty = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
