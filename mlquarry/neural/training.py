@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,22 +90,26 @@ Loss = Callable[[Tensor, np.ndarray], Tensor]
 class Trainer:
     """A model, an optimiser over its parameters, and a loss that sums over rows ("sum" reduction).
 
-    A round is a full pass: tasks run the model over BATCH rows at a time and add up gradients, which are as large as the
-    parameters whatever the rows; their sum over the number of rows is the step's gradient.
+    A step's gradient is the sum over its rows, divided by their number: tasks run the model over BATCH rows at a time and
+    add up gradients, which are as large as the parameters whatever the rows; PARTS tasks add those up again.
     """
 
-    BATCH = 1024
+    BATCH, PARTS = 1024, 16
+    SUMS = "part int, loss double, n long, g binary"
 
     def __init__(self, model: Module, optimizer: Optimizer, loss: Loss):
         self.model, self.optimizer, self.loss = model, optimizer, loss
         self.history: list[dict] = []
 
     def _sums(self, df: DataFrame, target: str, grads: bool) -> tuple[float, int, list[np.ndarray]]:
-        model, loss, size = self.model, self.loss, self.BATCH
+        model, loss, size, parts, names = self.model, self.loss, self.BATCH, self.PARTS, ["part", "loss", "n", "g"]
         for p in model.parameters():
             p.grad = None
         sent = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
+        def sums(part: int, total: float, n: int, g: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total], pa.float64()), pa.array([n], pa.int64()), pa.array([g], pa.binary())], names=names)
+
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, total, n = pickle.loads(sent.value), 0.0, 0
             for batch in batches:
@@ -115,34 +120,54 @@ class Trainer:
                     if grads:
                         value.backward()
             flat = [np.zeros(p.shape) if p.grad is None else p.grad for p in own.parameters()] if grads and n else []
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n]), pa.array([np.concatenate([g.reshape(-1) for g in flat]).tobytes() if flat else b""])], names=["loss", "n", "g"])
-
-        total, n, found = 0.0, 0, None
-        for row in df.select("v", F.col(target)).mapInArrow(kernel, "loss double, n long, g binary").toLocalIterator():
-            total, n = total + row.loss, n + row.n
-            if row.g:
-                g = np.frombuffer(bytes(row.g))
-                found = g if found is None else found + g
-        parts, at = [], 0
+            if n:
+                yield sums(TaskContext.get().partitionId() % parts, total, n, np.concatenate([g.reshape(-1) for g in flat]).tobytes() if flat else b"")
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n, found = 0.0, 0, None
+            for batch in batches:
+                for _, own, rows, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    total, n = total + own, n + rows
+                    if g:
+                        found = np.frombuffer(g) + (0.0 if found is None else found)
+            if n:
+                yield sums(0, total, n, b"" if found is None else found.tobytes())
+
+        each = df.select("v", F.col(target)).mapInArrow(kernel, self.SUMS)
+        rows = sorted(each.repartition(parts, "part").mapInArrow(add, self.SUMS).collect(), key=lambda r: (r.n, r.loss))  # at most PARTS rows
+        total, n = sum(r.loss for r in rows), sum(r.n for r in rows)
+        found = sum(np.frombuffer(bytes(r.g)) for r in rows) if rows and grads else None
+        out, at = [], 0
         for p in model.parameters() if found is not None else []:
-            parts.append(found[at : at + p.size].reshape(p.shape) / max(1, n))
+            out.append(found[at : at + p.size].reshape(p.shape) / max(1, n))
             at += p.size
-        return total, n, parts
+        return total, n, out
 
-    def fit(self, train: DataFrame, target: str, epochs: int = 10, validation: DataFrame | None = None, patience: int | None = None) -> list[dict]:
-        best, waited, kept = np.inf, 0, None
-        for epoch in range(epochs):
-            self.model.train()
-            total, n, grads = self._sums(train, target, True)
-            for p, g in zip(self.model.parameters(), grads, strict=True) if grads else []:
+    def _step(self, df: DataFrame, target: str) -> tuple[float, int]:
+        total, n, grads = self._sums(df, target, True)
+        if n:
+            for p, g in zip(self.model.parameters(), grads, strict=True):
                 p.grad = g
             self.optimizer.step()
             self.optimizer.zero_grad()
-            row = {"epoch": epoch, "loss": total / max(1, n)}
+        return total, n
+
+    def fit(self, train: DataFrame, target: str, epochs: int = 10, validation: DataFrame | None = None, patience: int | None = None, batch_size: int | None = None) -> list[dict]:
+        """Trains and returns the history. Without batch_size an epoch is one step over all rows; with it rows fall into
+        batches of about that size by a hash of themselves and the epoch, and each batch is a step. patience: epochs
+        without a better (validation) loss after which the best parameters are taken back."""
+        best, waited, kept = np.inf, 0, None
+        batches = max(1, round(train.count() / batch_size)) if batch_size else 1
+        for epoch in range(len(self.history), len(self.history) + epochs):
+            self.model.train()
+            if batches == 1:
+                done = [self._step(train, target)]
+            else:
+                at = F.pmod(F.xxhash64("v", F.col(target), F.lit(epoch)), F.lit(batches))
+                done = [self._step(train.where(at == k), target) for k in range(batches)]
+            row = {"epoch": epoch, "loss": sum(t for t, _ in done) / max(1, sum(n for _, n in done))}
             if validation is not None:
-                self.model.eval()
-                total, n, _ = self._sums(validation, target, False)
-                row["val_loss"] = total / max(1, n)
+                row["val_loss"] = self.evaluate(validation, target)
             self.history.append(row)
             value = row.get("val_loss", row["loss"])
             if value < best:
@@ -156,6 +181,26 @@ class Trainer:
         self.model.eval()
         return self.history
 
+    def evaluate(self, df: DataFrame, target: str) -> float:
+        """The mean loss over df, without dropout."""
+        self.model.eval()
+        total, n, _ = self._sums(df, target, False)
+        return total / max(1, n)
+
+    def save_checkpoint(self, path: str) -> None:
+        """Parameters, state of the optimiser and history, as one file."""
+        state = {"parameters": [p.data for p in self.model.parameters()], "kept": self.optimizer.kept, "t": self.optimizer.t, "history": self.history}
+        with open(path, "wb") as file:
+            np.savez(file, state=np.frombuffer(pickle.dumps(state), np.uint8))
+
+    def load_checkpoint(self, path: str) -> None:
+        """Goes on where save_checkpoint() was; only for files of one's own, since they are unpickled."""
+        with np.load(path) as file:
+            state = pickle.loads(file["state"].tobytes())
+        for p, d in zip(self.model.parameters(), state["parameters"], strict=True):
+            p.data = d
+        self.optimizer.kept, self.optimizer.t, self.history = state["kept"], state["t"], state["history"]
+
     def predict(self, df: DataFrame) -> DataFrame:
         """df with output: an array of the model's values."""
         return forward(df, self.model)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 _PER_JOB = 400
 
 
@@ -45,6 +47,14 @@ class Transformer:
         """Aggregates by name; empty if the operator learns nothing."""
         return {}
 
+    def quantiles(self) -> dict[str, tuple[Column, float | list[float]]]:
+        """Exact quantiles by name: a column and one probability or several."""
+        return {}
+
+    def modes(self) -> dict[str, Column]:
+        """Columns by name whose most frequent value is asked for, of ties the smallest."""
+        return {}
+
     def accept(self, row: Row | None) -> None:
         """Takes the values of statistics()."""
         self.params = row.asDict() if row else {}
@@ -77,12 +87,16 @@ class Transformer:
 
 
 def fit_together(df: DataFrame, operators: Sequence[Transformer]) -> None:
-    """Fits operators that all look at df itself, with one scan for up to a few hundred statistics."""
+    """Fits operators that all look at df itself, with one scan for up to a few hundred statistics, and some more for all
+    quantiles together."""
     wanted = [(i, name, value) for i, op in enumerate(operators) for name, value in op.statistics().items()]
     found: dict[str, object] = {}
     for at in range(0, len(wanted), _PER_JOB):
         part = wanted[at : at + _PER_JOB]
         found |= df.agg(*[v.alias(f"{i}:{n}") for i, n, v in part]).first().asDict()
+    ranked = {f"{i}:{n}": q for i, op in enumerate(operators) for n, q in op.quantiles().items()}
+    counted = {f"{i}:{n}": c for i, op in enumerate(operators) for n, c in op.modes().items()}
+    found |= (quantiles.quantiles(df, ranked) if ranked else {}) | (quantiles.modes(df, counted) if counted else {})
     for i, op in enumerate(operators):
-        names = [n for j, n, _ in wanted if j == i]
+        names = [*op.statistics(), *op.quantiles(), *op.modes()]
         op.accept(Row(**{n: found[f"{i}:{n}"] for n in names}) if names else None)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import literal, number
+from .quantiles import quantiles
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -35,8 +36,9 @@ def leakage_check(train: DataFrame, other: DataFrame, cols: Sequence[str]) -> Da
 
 def feature_statistics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, mean, std, min, max, median) of each column, population deviation."""
+    middle = quantiles(df, {c: (number(c), 0.5) for c in cols})
     rows = [
-        F.struct(F.lit(c).alias("feature"), F.avg(number(c)).alias("mean"), F.stddev_pop(number(c)).alias("std"), F.min(number(c)).alias("min"), F.max(number(c)).alias("max"), F.median(number(c)).alias("median"))
+        F.struct(F.lit(c).alias("feature"), F.avg(number(c)).alias("mean"), F.stddev_pop(number(c)).alias("std"), F.min(number(c)).alias("min"), F.max(number(c)).alias("max"), literal(middle[c]).cast("double").alias("median"))
         for c in cols
     ]
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))

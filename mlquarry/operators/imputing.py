@@ -24,10 +24,13 @@ class SimpleImputer(Transformer):
         self.strategy, self.fill_value = strategy, fill_value
 
     def statistics(self) -> dict[str, Column]:
-        if self.strategy == "constant":
-            return {}
-        kind = {"mean": F.avg, "median": F.median, "most_frequent": lambda c: F.mode(c, True)}[self.strategy]
-        return self.per_column(fill=kind)
+        return self.per_column(fill=F.avg) if self.strategy == "mean" else {}
+
+    def quantiles(self) -> dict[str, tuple]:
+        return self.per_column(fill=lambda c: (c, 0.5)) if self.strategy == "median" else {}
+
+    def modes(self) -> dict[str, Column]:
+        return self.per_column(fill=lambda c: c) if self.strategy == "most_frequent" else {}
 
     def columns(self) -> dict[str, Column]:
         out = {}

@@ -7,10 +7,11 @@ of themselves is the same in n / BLOCK blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -20,11 +21,22 @@ BLOCK, CELLS = 2048, 2_000_000
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A matrix of a column of arrays; ValueError where one is null, holds a null or has another length."""
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = np.asarray(values.flatten().to_numpy(zero_copy_only=False), float)
+    flat = values.flatten()
+    if values.null_count or flat.null_count:
+        raise ValueError("a vector is null or holds a null")
+    if len(values) and (len(flat) % len(values) or pc.count_distinct(pc.list_value_length(values)).as_py() > 1):
+        raise ValueError("vectors differ in length")
+    flat = np.asarray(flat.to_numpy(zero_copy_only=False), float)
     return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
 
 
+def complete(df: DataFrame) -> DataFrame:
+    """The rows whose vector v is not null and holds no null."""
+    return df.where(F.isnotnull("v") & ~F.exists("v", lambda x: F.isnull(x)))
+
+
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """A row per query: Euclidean distance, or one minus cosine (1 where a norm is 0)."""
     if metric == "euclidean":
@@ -37,6 +49,27 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide(q @ x.T, norms, out=np.zeros(norms.shape), where=norms > 0)
 
 
+def near_pairs(q: np.ndarray, x: np.ndarray, metric: str, limit: Callable[[np.ndarray], np.ndarray | float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of all pairs up to a limit, and some beyond.
+
+    limit gets a row of distances for each query, of which the Euclidean ones come from a matrix product and are a little
+    off; the pairs that may lie within it are then measured exactly.
+    """
+    if metric != "euclidean":
+        d = distances(q, x, metric)
+        query, row = np.nonzero(d <= limit(d))
+        return query, row, d[query, row]
+    one, two = (q**2).sum(axis=1), (x**2).sum(axis=1)
+    d = np.sqrt(np.maximum(one[:, None] + two[None] - 2 * (q @ x.T), 0))
+    slack = 1e-6 * np.sqrt(one.max(initial=0) + two.max(initial=0))  # the root of the product's rounding error
+    query, row = np.nonzero(d <= limit(d) + 2 * slack)
+    out = np.empty(query.size)
+    step = max(1, CELLS // max(1, q.shape[1]))
+    for at in range(0, query.size, step):
+        out[at : at + step] = np.sqrt(((q[query[at : at + step]] - x[row[at : at + step]]) ** 2).sum(axis=1))
+    return query, row, out
+
+
 def query_blocks(queries: DataFrame, id_col: str) -> Iterator[tuple[list, np.ndarray]]:
     ids, vectors = [], []
     for row in queries.select(id_col, "v").toLocalIterator():
@@ -50,8 +83,9 @@ def query_blocks(queries: DataFrame, id_col: str) -> Iterator[tuple[list, np.nda
 
 
 def _searched(queries: DataFrame, rows: DataFrame, id_col: str, row_id: str, keep: Sequence[str], metric: str, choose) -> DataFrame:
-    """Pairs (query, row) that choose(distances, ids) picks in each batch, with distance and the kept columns."""
-    rows = rows.select(row_id, "v", *keep)
+    """Pairs (query, row) that choose(query vectors, row vectors, row ids) picks in each batch, with distance and the kept
+    columns. Queries and rows without a whole vector are in no pair."""
+    queries, rows = complete(queries.select(id_col, "v")), complete(rows.select(row_id, "v", *keep))
     kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *rows.schema)}
     schema = ", ".join([f"{id_col} {kinds[id_col]}", f"{row_id} {rows.schema[row_id].dataType.simpleString()}", "distance double", *[f"{c} {kinds[c]}" for c in keep]])
     out, kind = None, to_arrow_type(queries.schema[id_col].dataType)
@@ -65,10 +99,9 @@ def _searched(queries: DataFrame, rows: DataFrame, id_col: str, row_id: str, kee
                 step = max(1, CELLS // max(1, len(q)))
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    d = distances(q, _vectors(part.column(1)), metric)
-                    query, row = choose(d, part.column(0).to_numpy(zero_copy_only=False))
+                    query, row, d = choose(q, _vectors(part.column(1)), part.column(0).to_numpy(zero_copy_only=False))
                     picked = pa.array(row)
-                    columns = [ids.take(pa.array(query)), part.column(0).take(picked), pa.array(d[query, row]), *[part.column(2 + i).take(picked) for i in range(len(keep))]]
+                    columns = [ids.take(pa.array(query)), part.column(0).take(picked), pa.array(d), *[part.column(2 + i).take(picked) for i in range(len(keep))]]
                     yield pa.RecordBatch.from_arrays(columns, names=[id_col, row_id, "distance", *keep])
 
         found = rows.mapInArrow(kernel, schema)
@@ -80,13 +113,16 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str, row_id: st
     """The k nearest rows of each query: id_col, row_id, distance, rank from 1 and the kept columns.
 
     Both frames have their vector in v. Of equal distances the smaller row_id is nearer; a query that is among the rows is
-    its own neighbour.
+    its own neighbour. What has no vector, or a null in it, has no neighbours and is none.
     """
 
-    def choose(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = min(k, d.shape[1])
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :n]
-        return np.repeat(np.arange(len(d)), n), order.reshape(-1)
+    def choose(q: np.ndarray, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = min(k, len(x))
+        query, row, d = near_pairs(q, x, metric, lambda d: np.partition(d, n - 1, axis=1)[:, n - 1 : n])
+        order = np.lexsort((ids[row], d, query))
+        begin = np.searchsorted(query[order], query[order])  # where the query's pairs begin
+        order = order[np.arange(order.size) - begin < n]
+        return query[order], row[order], d[order]
 
     found = _searched(queries, rows, id_col, row_id, keep, metric, choose)
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy("distance", row_id))
@@ -95,7 +131,12 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str, row_id: st
 
 def within(queries: DataFrame, rows: DataFrame, radius: float, id_col: str, row_id: str, keep: Sequence[str] = (), metric: str = "euclidean") -> DataFrame:
     """All rows within radius (inclusive) of each query."""
-    return _searched(queries, rows, id_col, row_id, keep, metric, lambda d, ids: np.nonzero(d <= radius))
+
+    def choose(q: np.ndarray, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, row, d = near_pairs(q, x, metric, lambda _: radius)
+        return query[d <= radius], row[d <= radius], d[d <= radius]
+
+    return _searched(queries, rows, id_col, row_id, keep, metric, choose)
 
 
 def vote(pairs: DataFrame, id_col: str, label: str) -> DataFrame:

@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .base import Transformer, literal, number
 from .neighbors import nearest
+from .quantiles import quantile
 from .ranking import numbered
 
 
@@ -29,9 +31,10 @@ class OutlierDetector(Transformer):
         self.threshold = threshold if threshold is not None else (1.5 if method == "iqr" else 3.0)
 
     def statistics(self) -> dict[str, Column]:
-        if self.method == "iqr":
-            return self.per_column(q=lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))))
-        return self.per_column(mean=F.avg, std=F.stddev_pop)
+        return self.per_column(mean=F.avg, std=F.stddev_pop) if self.method == "zscore" else {}
+
+    def quantiles(self) -> dict[str, tuple]:
+        return self.per_column(q=lambda c: (c, [0.25, 0.75])) if self.method == "iqr" else {}
 
     def fences(self, col: str) -> tuple[float | None, float | None]:
         if self.method == "iqr":
@@ -113,13 +116,14 @@ class EllipticEnvelope(Transformer):
     def transform(self, df: DataFrame) -> DataFrame:
         self.check()
         scored = df.withColumn("score", self.distance())
-        limit = scored.agg(F.percentile("score", F.lit(1 - self.contamination))).first()[0]
+        limit = quantile(scored, "score", 1 - self.contamination)
         return scored.withColumn("prediction", F.when(F.col("score") > literal(limit), F.lit(-1)).otherwise(F.lit(1)))
 
 
 def flagged(scores: DataFrame, score: str, contamination: float) -> DataFrame:
     """prediction -1 where the score is above the (1 - contamination) quantile of all scores, else 1."""
-    limit = scores.agg(F.percentile(score, F.lit(1 - contamination))).first()[0]
+    scores = cut(scores)
+    limit = quantile(scores, score, 1 - contamination)
     return scores.withColumn("prediction", F.when(F.col(score) > literal(limit), F.lit(-1)).otherwise(F.lit(1)))
 
 
@@ -161,9 +165,9 @@ def select_clean(losses: DataFrame, id_col: str, loss: str, forget_rate: float =
         return losses
     n = losses.count()
     keep = max(1, int(n * (1 - forget_rate)))
-    cut = losses.agg(F.percentile(loss, F.lit((keep - 1) / max(1, n - 1)))).first()[0]
-    below = losses.where(F.col(loss) < literal(cut))
-    ties = losses.where(F.col(loss) == literal(cut))
+    most = quantile(losses, loss, (keep - 1) / max(1, n - 1))
+    below = losses.where(F.col(loss) < literal(most))
+    ties = losses.where(F.col(loss) == literal(most))
     missing = keep - below.count()
     first = numbered(ties, [id_col], "__r").where(F.col("__r") < missing).drop("__r")
     return below.unionByName(first)
@@ -175,6 +179,6 @@ def clip_losses(losses: DataFrame, loss: str, clip: float | None) -> DataFrame:
 
 def noise_estimate(history: DataFrame, id_col: str, loss: str, forget_rate: float = 0.2) -> float:
     """Share of samples whose mean loss over the epochs exceeds the (1 - forget_rate) quantile of these means."""
-    means = history.groupBy(id_col).agg(F.avg(loss).alias("m"))
-    limit = means.agg(F.percentile("m", F.lit(1 - forget_rate))).first()[0]
+    means = cut(history.groupBy(id_col).agg(F.avg(loss).alias("m")))
+    limit = quantile(means, "m", 1 - forget_rate)
     return means.agg(F.coalesce(F.avg((F.col("m") > literal(limit)).cast("double")), F.lit(0.0))).first()[0]

@@ -68,8 +68,8 @@ class RobustScaler(_Affine):
         super().__init__(cols)
         self.range = [q / 100 for q in quantile_range]
 
-    def statistics(self) -> dict[str, Column]:
-        return self.per_column(q=lambda c: F.percentile(c, F.array(*[F.lit(q) for q in (0.5, *self.range)])))
+    def quantiles(self) -> dict[str, tuple]:
+        return self.per_column(q=lambda c: (c, [0.5, *self.range]))
 
     def affine(self, col: str) -> tuple[float, float, float]:
         middle, low, high = self.get("q", col) or (None, 0.0, 0.0)

@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .neighbors import _vectors
+from .quantiles import quantile
 
 MAX_BINS = 256
 
@@ -396,6 +398,6 @@ class IsolationForest:
         return predict(df, lambda x: -(2.0 ** (-np.mean([t.predict(x) for t in trees], axis=0) / norm)), name="score")
 
     def predict(self, df: DataFrame) -> DataFrame:
-        scored = self.score(df)
-        limit = scored.agg(F.percentile("score", F.lit(self.contamination))).first()[0]
+        scored = cut(self.score(df))
+        limit = quantile(scored, "score", self.contamination)
         return scored.withColumn("prediction", F.when(F.col("score") < F.lit(limit), F.lit(-1)).otherwise(F.lit(1)))

@@ -178,3 +178,36 @@ def test_stream_equals_batch(spark, tmp_path):
     got = windows.merged(spark.read.parquet(f"{tmp_path}/m"), ["k"]).orderBy("k").collect()
     want = df.groupBy("k").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")).orderBy("k").collect()
     assert [tuple(map(pytest.approx, r[1:])) for r in want] == [tuple(r[1:]) for r in got]
+
+
+def test_trainer_equals_plain_gradient_descent(spark, tmp_path):
+    own = np.random.default_rng(0)
+    x, w = own.normal(size=(60, 3)), np.array([1.0, -2.0, 0.5])
+    df = spark.createDataFrame([(r.tolist(), float(r @ w + 1)) for r in x], "v array<double>, y double").repartition(5)
+    loss = lambda p, t: ((p.reshape(-1) - Tensor(t)) ** 2).sum()
+    made = lambda: Linear(3, 1)
+    model = made()
+    a, b = model.weight.data.copy(), model.bias.data.copy()
+    trainer = training.Trainer(model, training.SGD(model.parameters(), 0.1, momentum=0.9), loss)
+    assert training.Trainer.PARTS > 1
+    trainer.fit(df, "y", epochs=4)
+    y, moves = x @ w + 1, [0.0, 0.0]
+    for _ in range(4):
+        left = (x @ a.reshape(3, 1)).reshape(-1) + b.reshape(-1)[0] - y
+        grads = [(2 * x.T @ left / 60).reshape(a.shape), np.full(b.shape, 2 * left.mean())]
+        for i, g in enumerate(grads):
+            moves[i] = 0.9 * moves[i] + g
+        a, b = a - 0.1 * moves[0], b - 0.1 * moves[1]
+    assert np.allclose(model.weight.data, a) and np.allclose(model.bias.data, b)
+    path = str(tmp_path / "state.npz")
+    trainer.save_checkpoint(path)
+    again = made()
+    other = training.Trainer(again, training.SGD(again.parameters(), 0.1, momentum=0.9), loss)
+    other.load_checkpoint(path)
+    trainer.fit(df, "y", epochs=2)
+    other.fit(df, "y", epochs=2)
+    assert all(np.allclose(p.data, q.data) for p, q in zip(model.parameters(), again.parameters(), strict=True)) and len(other.history) == 6
+    batched = made()
+    small = training.Trainer(batched, training.SGD(batched.parameters(), 0.05), loss)
+    history = small.fit(df, "y", epochs=4, batch_size=15)
+    assert history[-1]["loss"] < history[0]["loss"] / 2 and small.evaluate(df, "y") < history[0]["loss"]

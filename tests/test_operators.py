@@ -428,3 +428,64 @@ def test_preprocessor_plans(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(files.encode_wav(tone))
     sound = own.preprocess(own.load(f"{tmp_path}/a.wav"), [{"operation": "time_stretch", "params": {"speed": 2.0}}], "samples").first()
     assert len(sound.out) == len(tone) // 2
+
+
+def test_quantiles_are_exact_at_every_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from mlquarry.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", 20)
+    monkeypatch.setattr(quantiles, "ACCURACY", 50)
+    own = np.random.default_rng(3)
+    n = 6000
+    columns = {
+        "plain": own.normal(size=n),
+        "ties": own.integers(0, 3, n).astype(float),
+        "mixed": np.where(own.random(n) < 0.6, 7.0, own.normal(7, 0.1, n)),
+        "gaps": np.where(own.random(n) < 0.3, np.nan, own.exponential(size=n)),
+        "none": np.full(n, np.nan),
+        "one": np.r_[5.0, np.full(n - 1, np.nan)],
+    }
+    df = spark.createDataFrame([tuple(None if np.isnan(x) else float(x) for x in r) for r in zip(*columns.values(), strict=True)], ", ".join(f"{c} double" for c in columns))
+    shares = [0.0, 0.013, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = quantiles.quantiles(df, {c: (F.col(c), shares) for c in columns})
+    for c, values in columns.items():
+        kept = values[~np.isnan(values)]
+        assert got[c] == (pytest.approx(np.percentile(kept, [100 * s for s in shares]), rel=1e-12) if kept.size else None), c
+    assert quantiles.quantile(df, "plain", 0.5) == pytest.approx(np.median(columns["plain"]))
+    assert quantiles.quantile(df.where("false"), "plain", 0.5) is None
+    assert quantiles.modes(df, {c: F.col(c) for c in ("ties", "mixed", "none")}) == {"ties": float(np.argmax(np.bincount(columns["ties"].astype(int)))), "mixed": 7.0, "none": None}
+
+
+def test_neighbours_by_product_equal_plain_distances(spark):
+    from mlquarry.operators import neighbors
+
+    own = np.random.default_rng(1)
+    x = np.round(own.normal(size=(400, 7)) * 3, 1)
+    x[100:140] = x[:40]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    rows = df.withColumnRenamed("id", "nid")
+    d = neighbors.distances(x, x, "euclidean")
+    got = {(r.id, r.rank): (r.nid, r.distance) for r in neighbors.nearest(df, rows, 6, "id", "nid").collect()}
+    for i in range(len(x)):
+        order = np.lexsort((np.arange(len(x)), d[i]))[:6]
+        assert [got[i, k + 1] for k in range(6)] == [(j, pytest.approx(d[i, j], abs=1e-12)) for j in order.tolist()]
+    near = {(r.id, r.nid) for r in neighbors.within(df, rows, 5.0, "id", "nid").collect()}
+    assert near == set(zip(*(z.tolist() for z in np.nonzero(d <= 5.0)), strict=True))
+
+
+def test_rows_without_a_whole_vector(spark):
+    import pyarrow as pa
+
+    from mlquarry.operators import clustering, neighbors
+
+    data = [(1, [0.0, 0.0]), (2, None), (3, [0.0, None]), (4, [0.0, 1.0]), (5, [3.0, 4.0])]
+    df = spark.createDataFrame(data, "id long, v array<double>")
+    got = {(r.id, r.nid): r.distance for r in neighbors.nearest(df, df.withColumnRenamed("id", "nid"), 2, "id", "nid").collect()}
+    assert got == {(1, 1): 0, (1, 4): 1, (4, 4): 0, (4, 1): 1, (5, 5): 0, (5, 4): pytest.approx(18**0.5)}
+    assert {r.id: r.cluster for r in clustering.dbscan(df, "id", 1.5, 2).collect()} == {1: 1, 2: -1, 3: -1, 4: 1, 5: -1}
+    for bad in ([[1.0], None], [[1.0], [None]], [[1.0], [1.0, 2.0]], [[1.0, 2.0], [1.0], [1.0, 2.0, 3.0]]):
+        with pytest.raises(ValueError, match="vector"):
+            neighbors._vectors(pa.array(bad, pa.list_(pa.float64())))
+    assert neighbors._vectors(pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float64())).slice(1)).tolist() == [[1, 2], [3, 4]]
