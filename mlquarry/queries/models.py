@@ -131,6 +131,16 @@ def lasso(spark, sf_dir):
     return _weights(spark, linear.Lasso(cols, "l_extendedprice", 10.0).fit(lines(spark, sf_dir)), cols)
 
 
+@query(
+    "lasso_single",
+    "WITH s AS (SELECT count(*) AS n, sum(l_quantity) AS x, sum(l_extendedprice) AS y, sum(l_quantity * l_quantity) AS xx, sum(l_quantity * l_extendedprice) AS xy FROM lineitem), w AS (SELECT *, sign(xy - x * y / n) * greatest(abs(xy - x * y / n) - 1000 * n, 0) / (xx - x * x / n) AS w FROM s) SELECT round(w, 4) AS slope, round((y - w * x) / n, 2) AS intercept FROM w",
+)
+def lasso_single(spark, sf_dir):
+    """With one column the solution is known: the centred slope, nearer to 0 by the penalty."""
+    model = linear.Lasso(["l_quantity"], "l_extendedprice", 1000.0, tol=1e-10).fit(lines(spark, sf_dir))
+    return spark.range(1).select(F.lit(round(float(model.coef[0]), 4)).alias("slope"), F.lit(round(float(model.intercept), 2)).alias("intercept"))
+
+
 @query("elasticnet")
 def elasticnet(spark, sf_dir):
     cols = ["l_discount", "l_tax"]
@@ -159,13 +169,34 @@ def logistic_regression(spark, sf_dir):
     return rounded(model.predict_proba(df).select("p_partkey", "probability"), "probability")
 
 
-@query("linear_svc")
+def _rounds_sql(n: int, start: str, step: str, last: str) -> str:
+    """A chain of steps, each over all rows p and the one row of weights before."""
+    ctes = [f"p AS MATERIALIZED {PARTS}", "n AS (SELECT count(*) AS n FROM p)", f"w0 AS (SELECT {start})"]
+    ctes += [f"w{i + 1} AS MATERIALIZED (SELECT {step} FROM p, n, w{i})" for i in range(n)]
+    return f"WITH {', '.join(ctes)} SELECT p_partkey, {last} AS prediction FROM p, w{n}"
+
+
+HINGE = "CASE WHEN (2 * y - 1) * (c + wa * a + wb * b) < 1 THEN 1 - 2 * y ELSE 0 END"
+TUBE = "CASE WHEN abs(c + wa * a - b) > 0.1 THEN sign(c + wa * a - b) ELSE 0 END"
+
+
+@query(
+    "linear_svc",
+    _rounds_sql(
+        20, "0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS c",
+        f"any_value(wa) - 0.1 * (avg(({HINGE}) * a) + 2 * any_value(wa) / any_value(n)) AS wa, any_value(wb) - 0.1 * (avg(({HINGE}) * b) + 2 * any_value(wb) / any_value(n)) AS wb, any_value(c) - 0.1 * avg({HINGE}) AS c",
+        "CAST(c + wa * a + wb * b >= 0 AS INT)",
+    ),
+)
 def linear_svc(spark, sf_dir):
     model = linear.LinearSVC(["a", "b"], "y", n_iterations=20).fit(df := parts(spark, sf_dir))
     return model.predict(df).select("p_partkey", "prediction")
 
 
-@query("linear_svr")
+@query(
+    "linear_svr",
+    _rounds_sql(20, "0.0::DOUBLE AS wa, 0.0::DOUBLE AS c", f"any_value(wa) - 0.1 * (avg(({TUBE}) * a) + 2 * any_value(wa) / any_value(n)) AS wa, any_value(c) - 0.1 * avg({TUBE}) AS c", "round(c + wa * a, 6)"),
+)
 def linear_svr(spark, sf_dir):
     model = linear.LinearSVR(["a"], "b", n_iterations=20).fit(df := parts(spark, sf_dir))
     return rounded(model.predict(df).select("p_partkey", "prediction"), "prediction")
@@ -234,7 +265,19 @@ _fitted("gradient_boosting_regressor", lambda i, t: trees.Boosting(i, t, "regres
 _fitted("gradient_boosting_classifier", lambda i, t: trees.Boosting(i, t, "logistic", 5))
 
 
-@query("adaboost_regressor")
+def _boosted_sql(rounds: int) -> str:
+    ctes = [f"r0 AS (SELECT p_partkey, a, b, 1.0::DOUBLE / count(*) OVER () AS w, 0.0::DOUBLE AS total FROM {PARTS})"]
+    for i in range(rounds):
+        ctes += [
+            f"g{i} AS (SELECT sum(w * a * b) / sum(w * a * a) AS k, (sum(w * b) - sum(w * a) * sum(w * a * b) / sum(w * a * a)) / sum(w) AS c FROM r{i})",
+            f"f{i} AS MATERIALIZED (SELECT r{i}.*, c + k * a AS fit, abs(b - c - k * a) AS miss FROM r{i}, g{i})",
+            f"e{i} AS (SELECT 0.1 * (ln(1 - avg(w * miss)) - ln(avg(w * miss))) / 2 AS alpha FROM f{i})",
+            f"r{i + 1} AS MATERIALIZED (SELECT p_partkey, a, b, w * exp(-alpha * miss) / sum(w * exp(-alpha * miss)) OVER () AS w, total + alpha * fit AS total FROM f{i}, e{i})",
+        ]
+    return f"WITH {', '.join(ctes)} SELECT p_partkey, round(total, 6) AS prediction FROM r{rounds}"
+
+
+@query("adaboost_regressor", _boosted_sql(5))
 def adaboost_regressor(spark, sf_dir):
     out = trees.adaboost_regressor(parts(spark, sf_dir), ["a"], "b", 5)
     return rounded(out.select("p_partkey", "prediction"), "prediction")
@@ -284,6 +327,19 @@ def kmeans_lloyd(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(c.sum()), 4)) for i, c in enumerate(moved)], "cluster int, total double")
 
 
+def _kmeans_sql(rounds: int) -> str:
+    ctes = [f"c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cluster, v FROM {VECS} WHERE vec_id < 4)"]
+    for k in range(rounds + 1):
+        ctes.append(f"a{k} AS (SELECT e.vec_id, e.v, c.cluster FROM {VECS} e, c{k} c QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.v, c.v), c.cluster) = 1)")
+        ctes.append(f"c{k + 1} AS (SELECT cluster, list(m ORDER BY i) AS v FROM (SELECT cluster, i, avg(x) AS m FROM (SELECT cluster, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{k}) GROUP BY 1, 2) GROUP BY 1)")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, cluster::INTEGER AS cluster FROM a{rounds}"
+
+
+@query("kmeans_rounds", _kmeans_sql(3))
+def kmeans_rounds(spark, sf_dir):
+    return C.KMeans("vec_id", 4, 3, init=start(spark, sf_dir)).fit(df := vectors(spark, sf_dir)).predict(df).select("vec_id", "cluster")
+
+
 @query("kmeans")
 def kmeans(spark, sf_dir):
     return C.KMeans("vec_id", 4, 10).fit(df := vectors(spark, sf_dir)).predict(df).select("vec_id", "cluster")
@@ -320,7 +376,10 @@ def pca(spark, sf_dir):
     return out.select("p_partkey", F.round("c0", 4).alias("c0"))
 
 
-@query("lda")
+@query(
+    "lda",
+    f"WITH p AS {PARTS}, s AS (SELECT y, count(*) AS n, avg(a) AS ma, avg(b) AS mb, count(*) * var_pop(a) AS aa, count(*) * var_pop(b) AS bb, count(*) * covar_pop(a, b) AS ab FROM p GROUP BY y), w AS (SELECT sum(aa) AS aa, sum(bb) AS bb, sum(ab) AS ab, sum(n * ma) / sum(n) AS ma, sum(n * mb) / sum(n) AS mb, max(ma) FILTER (y = 1) - max(ma) FILTER (y = 0) AS da, max(mb) FILTER (y = 1) - max(mb) FILTER (y = 0) AS db FROM s), d AS (SELECT *, bb * da - ab * db AS u, aa * db - ab * da AS v FROM w) SELECT p_partkey, round(((a - ma) * u + (b - mb) * v) / sqrt(u * u + v * v) * CASE WHEN (abs(u) >= abs(v) AND u < 0) OR (abs(v) > abs(u) AND v < 0) THEN -1 ELSE 1 END, 6) AS c0 FROM p, d",
+)
 def lda(spark, sf_dir):
     model = LDA(["a", "b"], "y", 1).fit(df := parts(spark, sf_dir))
     if not len(model.components):  # no rows, no direction

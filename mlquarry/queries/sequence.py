@@ -58,7 +58,10 @@ def adaptive_threshold(spark, sf_dir):
     return S.adaptive_boundaries(events(spark, sf_dir), "user_id", "value").select("event_id")
 
 
-@query("two_pass_boundaries")
+@query(
+    "two_pass_boundaries",
+    "WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER w AS t, abs(value - lag(value) OVER w) AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), m AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY t) AS r FROM e WHERE d IS NULL OR d > 30), k AS (SELECT user_id, r, value AS last, 1 AS n FROM m WHERE r = 1 UNION ALL SELECT m.user_id, m.r, CASE WHEN abs(m.value - k.last) > 70 THEN m.value ELSE k.last END, CASE WHEN abs(m.value - k.last) > 70 THEN k.n + 1 ELSE k.n END FROM k JOIN m ON m.user_id = k.user_id AND m.r = k.r + 1) SELECT user_id, max(n)::INTEGER AS n FROM k GROUP BY 1",
+)
 def two_pass_boundaries(spark, sf_dir):
     return S.two_pass_boundaries(events(spark, sf_dir), "user_id", "t", "value", 30.0, 70.0).select("user_id", F.size("kept").alias("n"))
 

@@ -11,7 +11,7 @@ from ..operators.encoding import FrequencyEncoder, LabelEncoder, OneHotEncoder,
 from ..operators.features import CorrelationSelector, FeatureInteractions, PolynomialFeatures, VarianceThreshold, correlation_matrix
 from ..operators.imputing import AutoPreprocessor, SimpleImputer, knn_impute
 from ..operators.outliers import EllipticEnvelope, OutlierDetector, StatisticalAnomaly, clip_losses, select_clean
-from ..operators.scaling import MinMaxScaler, Normalizer, PowerTransformer, RobustScaler, StandardScaler, TypeConverter
+from ..operators.scaling import MinMaxScaler, Normalizer, PowerTransformer, RobustScaler, StandardScaler, TypeConverter, box_cox, yeo_johnson
 from ..plans.pipeline import Pipeline
 from .common import Registry, r6, read, rounded
 
@@ -68,6 +68,17 @@ def power_transformer(spark, sf_dir):
     return rounded(PowerTransformer(X).fit_transform(lines(spark, sf_dir)), *X)
 
 
+@query(
+    "power_functions",
+    "SELECT l_orderkey, l_linenumber, l_partkey, round((pow(l_quantity + 1, 0.5) - 1) / 0.5, 6) AS up, round(-(pow(1 + l_quantity, 1.5) - 1) / 1.5, 6) AS down, round((pow(l_extendedprice, 0.3) - 1) / 0.3, 6) AS box, round(ln(l_extendedprice), 6) AS logarithm FROM lineitem",
+)
+def power_functions(spark, sf_dir):
+    """Yeo-Johnson on either side of 0 and Box-Cox, at given powers."""
+    x, y = F.col("l_quantity"), F.col("l_extendedprice")
+    made = {"up": yeo_johnson(x, 0.5), "down": yeo_johnson(-x, 0.5), "box": box_cox(y, 0.3), "logarithm": box_cox(y, 0.0)}
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[r6(c).alias(n) for n, c in made.items()])
+
+
 @query("type_converter", f"SELECT {PLAIN}, CAST(l_quantity AS INTEGER) AS l_quantity, CAST(l_extendedprice AS VARCHAR) IS NOT NULL AS priced FROM lineitem")
 def type_converter(spark, sf_dir):
     out = TypeConverter(["l_extendedprice"], "str").transform(TypeConverter(["l_quantity"], "int32").transform(lines(spark, sf_dir)))
