@@ -147,7 +147,8 @@ def remainder(column: str, folds: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network:
-    """A network from the labelled rows whose remainder is not 0. An id with both labels or none is left out."""
+    """A network from at most SAMPLE labelled rows whose remainder is not 0, those of the smallest digest. An id with both
+    labels or none is left out."""
     held = docs.sparkSession.sparkContext.broadcast(vectors)
     marks = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("y"), F.max("quality").alias("z"))
     marks = marks.where("y = z").where(remainder("__id", FOLDS) != 0).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
@@ -160,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network:
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("__id"))
     rows = rows.select("text", F.col("y").cast("int").alias("y"), "checks", F.xxhash64("doc_id", "text").alias("order"))
-    found = rows.mapInArrow(kernel, "x binary, y int, checks boolean, order long").toArrow().sort_by("order")
+    features = rows.mapInArrow(kernel, "x binary, y int, checks boolean, order long")
+    found = features.orderBy("order").limit(SAMPLE).toArrow()  # an id may stand on any number of rows
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, 3 * SIZE)
     return Network(x, found["y"].to_numpy().astype(float), found["checks"].to_numpy().astype(bool))
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, shared_dir, spread_join
+from .common import chunks, cut, removed, shared_dir, spread_join
 
 #: A task begins another archive beyond this many compressed bytes.
 ARCHIVE_BYTES = 256 << 20
@@ -72,7 +72,10 @@ def inflate(read: Callable[[int], bytes]) -> Iterator[Callable[[int], bytes]]:
                 rest = rest or read(STEP)
                 if not rest:
                     raise ValueError("the archive ends inside a gzip member")
-                ready.extend(engine.decompress(rest, STEP))
+                try:
+                    ready.extend(engine.decompress(rest, STEP))
+                except zlib.error as error:
+                    raise ValueError(f"the archive holds what is no gzip member: {error}") from error
                 rest = engine.unused_data if engine.eof else engine.unconsumed_tail
             out = bytes(ready[:n])
             del ready[:n]
@@ -87,13 +90,14 @@ def inflate(read: Callable[[int], bytes]) -> Iterator[Callable[[int], bytes]]:
 def records(read: Callable[[int], bytes]) -> Iterator[Record]:
     """The records of a stream of gzip members, one record each; ValueError where framing or a digest is wrong."""
     for take in inflate(read):
-        head = b""
-        while b"\r\n\r\n" not in head:
+        read_, end = bytearray(), -1
+        while end < 0:
             more = take(1024)
             if not more:
                 raise ValueError("a record's header has no end")
-            head += more
-        head, _, begun = head.partition(b"\r\n\r\n")
+            read_ += more
+            end = read_.find(b"\r\n\r\n", max(0, len(read_) - len(more) - 3))
+        head, begun = bytes(read_[:end]), bytes(read_[end + 4 :])
         version, *lines = head.decode("utf-8", "surrogateescape").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record: {version[:40]!r}")
@@ -210,8 +214,9 @@ def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0)
     """Pages written and read back: page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id).
 
     Repeated rows are records of their own; an empty table gives an empty result; columns other than page_id, url and
-    html are not looked at.
+    html are not looked at. Archives in a folder that is given stay; those in a folder of our own are deleted once read.
     """
+    own = folder is None
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     rows = read_archives(write(pages, folder, min_bytes), payload=False)
@@ -219,7 +224,11 @@ def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0)
     def number(c: str) -> Column:
         return F.when(F.startswith(F.col(c), F.lit(PAGE)), F.substring(c, len(PAGE) + 1, 99).cast("long"))
 
-    return rows.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    out = rows.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    if own:
+        out = cut(out)
+        removed(pages.sparkSession, folder)
+    return out
 
 
 ORACLE = """

@@ -819,3 +819,11 @@ def test_a_cluster_without_shared_folder_is_refused():
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def test_warc_reader_refuses_other_bytes():
+    one = warc.member({"WARC-Type": "metadata"}, b"x") if hasattr(warc, "member") else gzip.compress(b"WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n")
+    assert [r.block for r in warc.records(io.BytesIO(one + one).read)] == [b"x", b"x"]
+    for bad in (one + b"no gzip", one[:-9], gzip.compress(b"WARC/1.0\r\n" + b"a: b\r\n" * 20_000), gzip.compress(b"other\r\n\r\n")):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(bad).read))
