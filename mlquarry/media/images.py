@@ -254,6 +254,17 @@ def histogram(x: np.ndarray, bins: int = 256) -> np.ndarray:
     return n / max(1, n.sum())
 
 
+def color_histogram(frames: np.ndarray, bins: int = 256) -> np.ndarray:
+    """Shares of the values of red, green and blue over all frames (time, height, width, 3), one after the other."""
+    return np.concatenate([(n := np.histogram(frames[..., c], bins, (0, 256))[0]) / (n.sum() + 1e-10) for c in range(3)])
+
+
+def edge_density(x: np.ndarray) -> float:
+    """The share of pixels whose gradient is above a tenth of the largest."""
+    size = np.hypot(*gradients(x))
+    return float((size > 0.1 * size.max()).mean())
+
+
 def equalize(x: np.ndarray) -> np.ndarray:
     cdf = histogram(x).cumsum()
     return np.floor(cdf[np.clip(x, 0, 255).astype(int)] * 255)

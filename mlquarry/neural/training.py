@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.neighbors import _vectors
-from .modules import Dropout, Module
-from .tensor import Tensor
+from .modules import Dropout, Linear, Module
+from .tensor import Tensor, cross_entropy_loss
 
 
 class Optimizer:
@@ -219,6 +219,48 @@ def forward(df: DataFrame, model: Module, name: str = "output") -> DataFrame:
     return df.mapInArrow(kernel, df.select(*df.columns, F.lit(None).cast("array<double>").alias(name)).schema)
 
 
+def activation_statistics(df: DataFrame, model: Module) -> DataFrame:
+    """(layer, n, mean, std, min, max) of what each layer of a sequence gives for the rows of df (features in v), layers
+    numbered from 0; the whole tables of activations never leave the tasks."""
+    sent = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layers = [m for _, m in pickle.loads(sent.value).children()]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, rows = Tensor(_vectors(batch.column(0))), []
+            for i, layer in enumerate(layers):
+                x = layer(x)
+                rows.append((i, x.data.size, x.data.sum(), (x.data**2).sum(), x.data.min(), x.data.max()))
+            columns = list(zip(*rows, strict=True))
+            kinds = [pa.int32(), pa.int64(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["layer", "n", "s", "q", "low", "high"])
+
+    parts = df.select("v").mapInArrow(kernel, "layer int, n long, s double, q double, low double, high double")
+    mean = F.sum("s") / F.sum("n")
+    spread = F.sqrt(F.greatest(F.sum("q") / F.sum("n") - mean * mean, F.lit(0.0)))
+    return parts.groupBy("layer").agg(F.sum("n").alias("n"), mean.alias("mean"), spread.alias("std"), F.min("low").alias("min"), F.max("high").alias("max"))
+
+
+class ContrastiveLearner(Module):
+    """Two encoders with a projection each; forward(x, y) is the symmetric cross entropy of the cosines of a batch's pairs."""
+
+    def __init__(self, encoder_a: Module, encoder_b: Module, n_a: int, n_b: int, dim: int = 128, temperature: float = 0.07, seed: int = 0):
+        self.encoder_a, self.encoder_b, self.temperature = encoder_a, encoder_b, temperature
+        self.project_a, self.project_b = Linear(n_a, dim, seed=seed), Linear(n_b, dim, seed=seed + 1)
+
+    def embed(self, x: Tensor, side: str = "a") -> Tensor:
+        """Projected vectors of length one."""
+        out = self.project_a(self.encoder_a(x)) if side == "a" else self.project_b(self.encoder_b(x))
+        return out / ((out**2.0).sum(axis=1, keepdims=True) + 1e-24) ** 0.5
+
+    def forward(self, x: Tensor, y: Tensor) -> Tensor:
+        z = self.embed(x, "a") @ self.embed(y, "b").T * (1 / self.temperature)
+        own = np.arange(x.shape[0])
+        return (cross_entropy_loss(z, own) + cross_entropy_loss(z.T, own)) * 0.5
+
+
 def mc_dropout(df: DataFrame, id_col: str, model: Module, n_samples: int = 30) -> DataFrame:
     """(id, mean, variance) of the first output over passes with dropout on, each pass with a seed of its own."""
 

@@ -221,3 +221,72 @@ def kernel_decision(queries: DataFrame, train: DataFrame, id_col: str, target: s
         first = queries.select(F.size("v")).first()
         gamma = 1 / ((first[0] if first else 1) * stats)
     return summed(queries, train, id_col, target, kernel, gamma, degree, weight, bias)
+
+
+class SVC:
+    """Two classes by a sum of kernels over all training rows (vectors in v), each with WEIGHT and its label of -1 or 1.
+
+    The bias is the mean of label minus sum over the training rows, so fitting compares all of them with each other, in
+    blocks of rows. Kernels are linear, rbf and poly; gamma defaults as in kernel_decision().
+    """
+
+    WEIGHT = 0.01
+
+    def __init__(self, id_col: str, target: str, kernel: str = "rbf", gamma: float | None = None, degree: int = 3):
+        self.id_col, self.target, self.kernel, self.gamma, self.degree = id_col, target, kernel, gamma, degree
+
+    def support(self, df: DataFrame) -> DataFrame:
+        classes = [r[0] for r in df.select(self.target).where(F.isnotnull(self.target)).distinct().orderBy(self.target).limit(3).collect()]
+        if len(classes) != 2:
+            raise ValueError("two classes are needed")
+        self.classes = classes
+        y = F.when(F.col(self.target) == F.lit(classes[1]), F.lit(1.0)).when(F.isnotnull(self.target), F.lit(-1.0))
+        return df.select(self.id_col, "v", y.alias("__y"), F.lit(1.0).alias("__k")).where("__y is not null")
+
+    def sums(self, df: DataFrame, bias: float = 0.0) -> DataFrame:
+        return kernel_decision(df, self.rows, self.id_col, self.weights, self.kernel, self.gamma, self.degree, self.WEIGHT, bias)
+
+    weights = "__y"
+
+    def fit(self, df: DataFrame) -> SVC:
+        self.rows = self.support(df)
+        margins = self.sums(self.rows).join(self.rows.select(self.id_col, "__y"), self.id_col)
+        self.intercept = self.offset(margins.withColumn("__e", F.col("__y") - F.col("decision")))
+        return self
+
+    def offset(self, errors: DataFrame) -> float:
+        return errors.agg(F.coalesce(F.avg("__e"), F.lit(0.0))).first()[0]
+
+    def decision_function(self, df: DataFrame) -> DataFrame:
+        """(id, decision) of rows with their vector in v."""
+        return self.sums(df.select(self.id_col, "v"), self.intercept)
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """(id, decision, probability of the second class)."""
+        return self.decision_function(df).withColumn("probability", 1 / (1 + F.exp(-F.col("decision"))))
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """(id, decision, prediction)."""
+        return self.decision_function(df).withColumn("prediction", F.when(F.col("decision") >= 0, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0])))
+
+
+class SVR(SVC):
+    """Regression by the same sums, every training row counting alike; the bias is the mean error of the rows outside
+    epsilon, or of all rows if none is."""
+
+    weights = "__k"
+
+    def __init__(self, id_col: str, target: str, kernel: str = "rbf", gamma: float | None = None, degree: int = 3, epsilon: float = 0.1):
+        super().__init__(id_col, target, kernel, gamma, degree)
+        self.epsilon = epsilon
+
+    def support(self, df: DataFrame) -> DataFrame:
+        return df.select(self.id_col, "v", number(self.target).alias("__y"), F.lit(1.0).alias("__k")).where("__y is not null")
+
+    def offset(self, errors: DataFrame) -> float:
+        outside = F.avg(F.when(F.abs(F.col("__e")) > self.epsilon, F.col("__e")))
+        return errors.agg(F.coalesce(outside, F.avg("__e"), F.lit(0.0))).first()[0]
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """(id, prediction)."""
+        return self.decision_function(df).withColumnRenamed("decision", "prediction")

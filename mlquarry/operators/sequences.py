@@ -200,3 +200,62 @@ def echoed(signal: Column, delay: int, decay: float = 0.5) -> Column:
 
 def tremolo(signal: Column, sample_rate: int, rate: float = 5.0, depth: float = 0.5) -> Column:
     return F.transform(signal, lambda x, i: x * (1 - depth + depth * (1 + F.sin(2 * 3.141592653589793 * rate * i / sample_rate)) / 2))
+
+
+def temporal_coherence(df: DataFrame, seq: str, pos: str, frame: str, window: int = 3) -> DataFrame:
+    """coherence: the mean over the frame's numbers of their variance in the frames from window before to window after.
+    Frames nearer to an end have the value of the first or last that has all of these; null if there is none."""
+    w = _order(seq, pos)
+    near = F.collect_list(frame).over(w.rowsBetween(-window, window))
+    numbers = F.transform(F.sequence(F.lit(0), F.size(frame) - 1), lambda i: F.transform("__near", lambda f: F.get(f, i).cast("double")))
+
+    def variance(values: Column) -> Column:
+        mean = mean_of(values)
+        return mean_of(F.transform(values, lambda x: (x - mean) * (x - mean)))
+
+    inner = F.when(F.size("__near") == 2 * window + 1, mean_of(F.transform(numbers, variance)))
+    first = F.first("__inner", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    last = F.last("__inner", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("__near", near).withColumn("__inner", inner).withColumn("coherence", F.coalesce("__inner", first, last)).drop("__near", "__inner")
+
+
+def _draw(*columns: str | Column) -> Column:
+    """A number from 0 to below 2^32 that only depends on the columns."""
+    return F.conv(F.substring(F.md5(F.concat_ws(",", *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns])), 1, 8), 16, 10).cast("long")
+
+
+def temporal_dropout(df: DataFrame, seq: str, pos: str, rate: float = 0.1, seed: int = 0) -> DataFrame:
+    """The frames whose draw is not below the rate."""
+    return df.where(_draw(seq, pos, F.lit(str(seed))) >= int(rate * 2**32))
+
+
+def temporal_crop(df: DataFrame, seq: str, pos: str, length: int, seed: int = 0) -> DataFrame:
+    """length frames in a row of each sequence from a drawn one on; shorter sequences stay whole."""
+    w = Window.partitionBy(seq)
+    start = _draw(seq, F.lit(str(seed))) % F.greatest(F.lit(1), F.col("__n") - length + 1)
+    placed = df.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(_order(seq, pos)) - 1)
+    return placed.where((F.col("__r") >= start) & (F.col("__r") < start + length)).drop("__n", "__r")
+
+
+def exponential_mean(df: DataFrame, seq: str, pos: str, value: str, momentum: float = 0.1, chunk: int = 1024) -> DataFrame:
+    """mean: (1 - momentum) times the mean before, which is 0 at first, plus momentum times the value; a missing value counts as 0.
+
+    A sequence is folded in chunks of rows; only the chunks' last means are folded over the whole sequence, so no row
+    holds more than a chunk or a number a chunk.
+    """
+    keep = 1.0 - momentum
+    placed = df.withColumn("__r", (F.row_number().over(_order(seq, pos)) - 1).cast("long")).withColumn("__c", F.floor(F.col("__r") / chunk))
+    packed = placed.groupBy(seq, "__c").agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x")))), lambda s: s["x"]).alias("x"))
+
+    def fold(values: Column, start: Column) -> Column:
+        return F.aggregate(values, F.array(start), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) * keep + x)))
+
+    own = packed.withColumn("own", F.slice(fold(F.transform("x", lambda x: x * momentum), F.lit(0.0)), 2, chunk))
+    ends = own.select(seq, "__c", F.element_at("own", -1).alias("e"), F.pow(F.lit(keep), F.size("x")).alias("k"))
+    chain = ends.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct("__c", "e", "k"))).alias("all"))
+    steps = F.aggregate("all", F.array(F.lit(0.0)), lambda s, c: F.concat(s, F.array(F.element_at(s, -1) * c["k"] + c["e"])))
+    before = chain.select(F.col(seq).alias("__s"), F.posexplode(steps).alias("__b", "start"))
+    whole = own.join(before, own[seq].eqNullSafe(before["__s"]) & (own["__c"] == before["__b"]))
+    means = F.transform("own", lambda m, i: m + F.col("start") * F.pow(F.lit(keep), i + 1))
+    rows = whole.select(F.col("__s"), F.col("__c").alias("__d"), F.posexplode(means).alias("__i", "mean")).withColumn("__q", F.col("__d") * chunk + F.col("__i"))
+    return placed.join(rows, placed[seq].eqNullSafe(rows["__s"]) & (placed["__r"] == rows["__q"])).select(*[placed[c] for c in df.columns], "mean")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from ..neural import training
-from ..neural.modules import AvgPool2D, BatchNorm1d, Conv2D, Dropout, Flatten, GRUCell, Linear, LSTMCell, MaxPool2D, RNNCell, Sequential
+from ..neural.modules import AvgPool2D, BatchNorm1d, Conv2D, Dropout, Flatten, Function, GRUCell, Linear, LSTMCell, MaxPool2D, RNNCell, Sequential
 from ..neural.tensor import Tensor, mse_loss
-from .common import Registry
+from .common import Registry, rounded
 from .media import IMAGES, SIGNALS, _kernel, _listed, _pixels, signals
 from .media import query as media_query
 
@@ -135,4 +135,19 @@ _layer(
     f"SELECT vec_id, i, round(greatest(least(greatest(least(x[i + 1], 1), -1) + CASE WHEN x[i + 1] = 0 THEN 0 ELSE 0.03 END, 1), -1), 6) + 0.0 AS value FROM {SIGNALS}, range(64) t(i)", None, signals, "x",
 )
 
+VECTOR = f"(SELECT vec_id, i, x[i + 1] AS v FROM {SIGNALS}, range(64) t(i))"
+
+
+@query(
+    "activation_statistics",
+    f"WITH h AS (SELECT vec_id, unnest([sum(v * (i - 32)) / 100, sum(v) / 100 + 1]) AS x FROM {VECTOR} GROUP BY 1), l AS (SELECT 0 AS layer, x FROM h UNION ALL SELECT 1, greatest(x, 0) FROM h) SELECT layer, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max FROM l GROUP BY 1",
+)
+def activation_statistics(spark, sf_dir):
+    model = Sequential(Linear(64, 2), Function("relu"))
+    layer = next(iter(model.children()))[1]
+    layer.weight.data, layer.bias.data = np.stack([np.arange(64.0) - 32, np.ones(64)], axis=1) / 100, np.array([0.0, 1.0])
+    rows = signals(spark, sf_dir).withColumnRenamed("x", "v")
+    return rounded(training.activation_statistics(rows, model), "mean", "std", "min", "max")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -153,6 +153,7 @@ for _name, (_f, _sql) in {
     "image_lbp": (images.local_binary_pattern, f"SELECT vec_id, (y - 1) * 6 + x - 1 AS i, round({LBP}, 6) + 0.0 AS value FROM {_pixels()} WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6"),
     "image_glcm": (images.glcm, _listed(GLCM, 5)),
     "image_hog": (images.hog, HOG),
+    "image_edge_density": (images.edge_density, _value("avg(CAST(s > 0.1 * m AS INT))", f"(SELECT vec_id, 0::BIGINT AS i, s, max(s) OVER (PARTITION BY vec_id) AS m FROM (SELECT vec_id, i, sqrt(pow({ACROSS}, 2) + pow({DOWN}, 2)) AS s FROM {_window(1)} GROUP BY 1, 2))", "GROUP BY 1, 2")),
     "image_moments": (images.moments, _listed(MOMENTS, 7)),
 }.items():
     _kernel(_name, _f, sql=_sql)

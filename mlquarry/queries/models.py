@@ -208,6 +208,29 @@ def svc_decision(spark, sf_dir):
     return rounded(linear.kernel_decision(asked(spark, sf_dir), train, "vec_id", "y", "rbf", 0.005), "decision")
 
 
+KERNEL = "exp(-0.005 * pow(list_distance(q.v, r.v), 2))"
+PLUS = f"(SELECT *, CASE WHEN label < 5 THEN -1 ELSE 1 END AS y FROM {VECS})"
+
+
+@query(
+    "svc_predict",
+    f"WITH e AS MATERIALIZED {PLUS}, m AS (SELECT q.vec_id, any_value(q.y) AS y, 0.01 * sum(r.y * {KERNEL}) AS m FROM e q, e r GROUP BY 1), b AS (SELECT avg(y - m) AS b FROM m) SELECT vec_id, round(m + b, 6) AS decision, CAST(m + b >= 0 AS INT) AS prediction FROM m, b WHERE vec_id % 50 = 0",
+)
+def svc_predict(spark, sf_dir):
+    df = vectors(spark, sf_dir).withColumn("y", (F.col("label") >= 5).cast("int"))
+    model = linear.SVC("vec_id", "y", "rbf", 0.005).fit(df)
+    return rounded(model.predict(asked(spark, sf_dir)), "decision")
+
+
+@query(
+    "svr_predict",
+    f"WITH e AS MATERIALIZED {VECS}, m AS (SELECT q.vec_id, any_value(q.label) AS y, 0.01 * sum(list_dot_product(q.v, r.v)) AS m FROM e q, e r GROUP BY 1), b AS (SELECT avg(y - m) FILTER (abs(y - m) > 0.5) AS b FROM m) SELECT vec_id, round(m + b, 6) AS prediction FROM m, b WHERE vec_id % 50 = 0",
+)
+def svr_predict(spark, sf_dir):
+    model = linear.SVR("vec_id", "label", "linear", 1.0, epsilon=0.5).fit(vectors(spark, sf_dir))
+    return rounded(model.predict(asked(spark, sf_dir)), "prediction")
+
+
 def _nb_sql(stats: str, joint: str) -> str:
     return f"WITH p AS {PARTS}, s AS (SELECT y AS k, count(*) AS n, {stats} FROM p GROUP BY y), j AS (SELECT p_partkey, k, ln(n / (SELECT count(*) FROM p)) + {joint} AS l FROM p, s) SELECT p_partkey, arg_max(k, l) AS prediction FROM j GROUP BY 1"
 

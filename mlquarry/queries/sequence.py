@@ -265,4 +265,42 @@ def experiment_summary(spark, sf_dir):
     return rounded(summary(rows), "mean")
 
 
+def clips(spark, sf_dir):
+    """Embeddings as frames of clips of fifty."""
+    e = read(spark, sf_dir, "embeddings")
+    return e.select(F.floor(F.col("vec_id") / 50).alias("clip"), (F.col("vec_id") % 50).alias("t"), F.col("embedding").cast("array<double>").alias("frame"))
+
+
+CLIPS = "(SELECT vec_id // 50 AS clip, vec_id % 50 AS t, list_transform(embedding, lambda x: x::DOUBLE) AS frame FROM embeddings)"
+
+
+@query(
+    "temporal_coherence",
+    f"WITH n AS (SELECT clip, t, unnest(range(1, 65)) AS i, unnest(frame) AS x FROM {CLIPS}), v AS (SELECT clip, t, var_pop(x) OVER w AS v, count(*) OVER w AS k FROM n WINDOW w AS (PARTITION BY clip, i ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), m AS (SELECT clip, t, CASE WHEN any_value(k) = 7 THEN avg(v) END AS m FROM v GROUP BY 1, 2) SELECT clip, t, round(coalesce(m, first_value(m IGNORE NULLS) OVER (PARTITION BY clip ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(m IGNORE NULLS) OVER (PARTITION BY clip ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS coherence FROM m",
+)
+def temporal_coherence(spark, sf_dir):
+    return rounded(S.temporal_coherence(clips(spark, sf_dir), "clip", "t", "frame").select("clip", "t", "coherence"), "coherence")
+
+
+DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+
+
+@query("temporal_dropout", f"SELECT clip, t FROM {CLIPS} WHERE {DRAW.format(chr(39).join(['clip || ', ',', ' || t || ', ',0', '']))} >= {int(0.2 * 2**32)}")
+def temporal_dropout(spark, sf_dir):
+    return S.temporal_dropout(clips(spark, sf_dir), "clip", "t", 0.2).select("clip", "t")
+
+
+@query("temporal_crop", f"SELECT clip, t FROM (SELECT clip, t, {DRAW.format(chr(39).join(['clip || ', ',0', '']))} % greatest(1, count(*) OVER (PARTITION BY clip) - 9) AS s FROM {CLIPS}) WHERE t >= s AND t < s + 10")
+def temporal_crop(spark, sf_dir):
+    return S.temporal_crop(clips(spark, sf_dir), "clip", "t", 10).select("clip", "t")
+
+
+@query(
+    "exponential_mean",
+    "WITH e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events) SELECT a.event_id, round(sum(0.1 * b.value * pow(0.9, a.t - b.t)), 6) AS mean FROM e a JOIN e b ON a.user_id = b.user_id AND b.t <= a.t GROUP BY 1",
+)
+def exponential_mean(spark, sf_dir):
+    return rounded(S.exponential_mean(events(spark, sf_dir), "user_id", "t", "value", 0.1, chunk=16).select("event_id", "mean"), "mean")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

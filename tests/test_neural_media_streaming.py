@@ -211,3 +211,27 @@ def test_trainer_equals_plain_gradient_descent(spark, tmp_path):
     small = training.Trainer(batched, training.SGD(batched.parameters(), 0.05), loss)
     history = small.fit(df, "y", epochs=4, batch_size=15)
     assert history[-1]["loss"] < history[0]["loss"] / 2 and small.evaluate(df, "y") < history[0]["loss"]
+
+
+def test_contrastive_learner_equals_the_batched_loss(spark):
+    own = np.random.default_rng(5)
+    x, y = own.normal(size=(9, 4)), own.normal(size=(9, 3))
+    learner = training.ContrastiveLearner(mlp([4, 5], seed=1), mlp([3, 6], seed=2), 5, 6, dim=3)
+    a, b = learner.embed(Tensor(x), "a").data, learner.embed(Tensor(y), "b").data
+    assert np.allclose(np.linalg.norm(a, axis=1), 1) and np.allclose(np.linalg.norm(b, axis=1), 1)
+    pairs = spark.createDataFrame([(0, i, p.tolist(), q.tolist()) for i, (p, q) in enumerate(zip(a, b, strict=True))], "batch int, k int, a array<double>, b array<double>")
+    loss = learner(Tensor(x), Tensor(y))
+    assert loss.item() == pytest.approx(lifecycle.contrastive_losses(pairs, "batch", "k", "a", "b").first().loss)
+    optimizer, first = training.Adam(learner.parameters(), 0.05), loss.item()
+    for _ in range(30):
+        optimizer.zero_grad()
+        learner(Tensor(x), Tensor(y)).backward()
+        optimizer.step()
+    assert learner(Tensor(x), Tensor(y)).item() < first / 2
+
+
+def test_colour_histogram():
+    frames = np.random.default_rng(0).integers(0, 256, (2, 3, 4, 3)).astype(float)
+    got = images.color_histogram(frames, 16).reshape(3, 16)
+    for c in range(3):
+        assert np.allclose(got[c], np.bincount((frames[..., c].reshape(-1) // 16).astype(int), minlength=16) / 24)

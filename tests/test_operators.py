@@ -489,3 +489,89 @@ def test_rows_without_a_whole_vector(spark):
         with pytest.raises(ValueError, match="vector"):
             neighbors._vectors(pa.array(bad, pa.list_(pa.float64())))
     assert neighbors._vectors(pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float64())).slice(1)).tolist() == [[1, 2], [3, 4]]
+
+
+def plain_tree(x, y, depth, score, leaf):
+    """A tree by trying every cut of every column anew: a nested (column, cut, left, right) or the value of a leaf."""
+    best = None
+    if depth and len(set(y.tolist())) > 1:
+        for f in range(x.shape[1]):
+            values = np.unique(x[:, f])
+            for cut in values[:-1]:
+                low = x[:, f] <= cut
+                gain = score(y) - (low.sum() * score(y[low]) + (~low).sum() * score(y[~low])) / len(y)
+                if best is None or gain > best[0] + 1e-9:
+                    best = (gain, f, cut)
+    if best is None or best[0] <= 1e-12:
+        return leaf(y)
+    low = x[:, best[1]] <= best[2]
+    return best[1], best[2], plain_tree(x[low], y[low], depth - 1, score, leaf), plain_tree(x[~low], y[~low], depth - 1, score, leaf)
+
+
+def walked(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_trees_equal_plain_trees(spark):
+    own = np.random.default_rng(11)
+    x = np.round(own.normal(size=(150, 3)), 1)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] < -0.2)).astype(int)
+    t = np.round(np.where(x[:, 2] > 0, 3.0, 1.0) + x[:, 0], 2)
+    df = spark.createDataFrame([(i, v.tolist(), int(a), float(b)) for i, (v, a, b) in enumerate(zip(x, y, t, strict=True))], "id long, v array<double>, y int, t double").repartition(3)
+
+    def entropy(a):
+        p = np.bincount(a) / len(a)
+        return -sum(q * np.log2(q) for q in p if q)
+
+    for depth in (1, 3):
+        grown = trees.decision_tree_classifier("id", "y", max_depth=depth, criterion="entropy").fit(df)
+        got = {r.id: r.prediction for r in grown.predict(df).collect()}
+        plain = plain_tree(x, y, depth, entropy, lambda a: int(np.bincount(a).argmax()))
+        wrong = sum(got[i] != y[i] for i in got), sum(walked(plain, x[i]) != y[i] for i in got)
+        assert wrong[0] == wrong[1], depth
+        grown = trees.decision_tree_regressor("id", "t", max_depth=depth).fit(df)
+        got = {r.id: r.prediction for r in grown.predict(df).collect()}
+        plain = plain_tree(x, t, depth, np.var, np.mean)
+        assert all(got[i] == pytest.approx(walked(plain, x[i]), abs=1e-6) for i in got), depth
+
+
+def test_agglomerative_equals_plain_merging(spark):
+    x = np.random.default_rng(2).normal(size=(40, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    for linkage, measure in (("single", np.min), ("complete", np.max), ("average", np.mean)):
+        groups = [[i] for i in range(40)]
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        while len(groups) > 4:
+            pairs = [(measure(d[np.ix_(a, b)]), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
+            _, i, j = min(pairs)
+            groups[i] += groups.pop(j)
+        got = {}
+        for r in clustering.agglomerative(df, "id", 4, linkage).collect():
+            got.setdefault(r.cluster, set()).add(r.id)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups)), linkage
+
+
+def test_kmeans_equals_plain_rounds(spark):
+    x = np.random.default_rng(4).normal(size=(200, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    centers = x[:5].copy()
+    model = clustering.KMeans("id", 5, 30, init=centers).fit(df)
+    for _ in range(30):
+        near = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centers = np.stack([x[near == k].mean(axis=0) for k in range(5)])
+    assert np.allclose(model.centers, centers, atol=1e-3)
+
+
+def test_elastic_net_and_lasso_reach_their_conditions(spark):
+    """Lasso's coordinates at rest: the gradient of the squares equals the penalty where a weight is not 0, and is below it elsewhere."""
+    own = np.random.default_rng(7)
+    x = own.normal(size=(300, 4))
+    y = x @ np.array([2.0, 0.0, -1.0, 0.05]) + own.normal(size=300) * 0.1
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, d double, y double")
+    model = linear.Lasso(list("abcd"), "y", 0.2, tol=1e-12).fit(df)
+    left = y - x @ model.coef - model.intercept
+    slope = x.T @ left / 300
+    assert all(abs(g) <= 0.2 + 1e-6 if w == 0 else g == pytest.approx(0.2 * np.sign(w), abs=1e-6) for g, w in zip(slope, model.coef, strict=True))
+    assert 0 in model.coef.tolist() and left.mean() == pytest.approx(0, abs=1e-6)
