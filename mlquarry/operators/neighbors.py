@@ -139,6 +139,33 @@ def within(queries: DataFrame, rows: DataFrame, radius: float, id_col: str, row_
     return _searched(queries, rows, id_col, row_id, keep, metric, choose)
 
 
+def scanned(queries: DataFrame, rows: DataFrame, id_col: str, cols: Sequence[str], schema: str, reduce: Callable) -> DataFrame:
+    """What reduce(query ids, query vectors, row vectors, columns) gives for every block of queries and batch of rows.
+
+    For results that are smaller than the pairs: cols are the rows' columns beside v that it needs, as arrays; it returns
+    columns for the schema. Queries and rows without a whole vector take no part.
+    """
+    queries, rows = complete(queries.select(id_col, "v")), complete(rows.select("v", *cols))
+    empty = queries.sparkSession.createDataFrame([], schema)
+    kinds = {f.name: to_arrow_type(f.dataType) for f in empty.schema}
+    out = None
+    for ids, vectors in query_blocks(queries, id_col):
+        held = queries.sparkSession.sparkContext.broadcast((np.array(ids), vectors))  # at most BLOCK queries
+
+        def kernel(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, q = held.value
+            for batch in batches:
+                step = max(1, CELLS // max(1, len(q)))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    made = reduce(ids, q, _vectors(part.column(0)), *[part.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(cols))])
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(made, kinds.values(), strict=True)], names=list(kinds))
+
+        found = rows.mapInArrow(kernel, schema)
+        out = found if out is None else out.unionByName(found)
+    return empty if out is None else out
+
+
 def vote(pairs: DataFrame, id_col: str, label: str) -> DataFrame:
     """The most frequent label of each query's neighbours, of ties the smallest, as prediction."""
     counts = pairs.groupBy(id_col, label).count()

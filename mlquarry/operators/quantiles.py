@@ -38,10 +38,10 @@ class _Interval:
             test &= self.column < F.lit(self.high)
         return F.when(test, self.column)
 
-    def probe(self, rank: int) -> Column:
-        """Two values near a rank of the column, on either side where the interval is large."""
-        at, reach = (rank - self.below) / max(1, self.inside - 1), 2 / ACCURACY
-        sides = [min(1.0, max(0.0, x)) for x in (at - reach, at + reach)]
+    def probe(self, ranks: Sequence[int]) -> Column:
+        """For each rank of the column two values near it, on either side where the interval is large."""
+        places, reach = [(r - self.below) / max(1, self.inside - 1) for r in ranks], 2 / ACCURACY
+        sides = [min(1.0, max(0.0, x)) for at in places for x in (at - reach, at + reach)]
         return F.percentile_approx(self.values(), F.array(*map(F.lit, sides)), F.lit(ACCURACY))
 
     def counts(self, a: float, b: float) -> list[Column]:
@@ -64,25 +64,25 @@ def order_statistics(df: DataFrame, ranks: Sequence[tuple[Column, Sequence[int]]
     found: list[dict[int, float]] = [{} for _ in ranks]
     open_ = {(i, r): _Interval(c, 0, sizes[i]) for i, (c, own) in enumerate(ranks) for r in sorted(set(own)) if 0 <= r < sizes[i]}
     while open_:
-        large = {k: x for k, x in open_.items() if x.inside > FEW}
-        small: dict[tuple, tuple[_Interval, list[int]]] = {}
+        shared: dict[tuple, tuple[_Interval, list[int]]] = {}  # ranks of one column that are in one interval
         for (i, r), x in open_.items():
-            if (i, r) not in large:
-                small.setdefault((i, x.low, x.high), (x, []))[1].append(r)
-        asked = [x.probe(r) for (_, r), x in large.items()] + [F.sort_array(F.collect_list(x.values())) for x, _ in small.values()]
-        got = _row(df, asked)
-        for ((i, _, _), (x, own)), values in zip(small.items(), got[len(large) :], strict=True):
+            shared.setdefault((x.inside > FEW, i, x.low, x.high), (x, []))[1].append(r)
+        asked = [x.probe(own) if key[0] else F.sort_array(F.collect_list(x.values())) for key, (x, own) in shared.items()]
+        open_, sides = {}, {}
+        for (large, i, *_), (x, own), values in zip(shared, shared.values(), _row(df, asked), strict=True):
+            for k, r in enumerate(own):
+                if large:
+                    sides.setdefault((i, x.low, x.high, values[2 * k], values[2 * k + 1]), (x, []))[1].append(r)
+                else:
+                    found[i][r] = values[r - x.below]
+        counted = _row(df, [c for key, (x, _) in sides.items() for c in x.counts(*key[3:])])
+        for j, ((i, *_, a, b), (x, own)) in enumerate(sides.items()):
             for r in own:
-                found[i][r] = values[r - x.below]
-        sides = dict(zip(large, got[: len(large)], strict=True))
-        counted = _row(df, [c for k, x in large.items() for c in x.counts(*sides[k])])
-        open_ = {}
-        for j, ((i, r), x) in enumerate(large.items()):
-            to = x.narrowed(r, *sides[i, r], counted[4 * j : 4 * j + 4])
-            if isinstance(to, _Interval):
-                open_[i, r] = to
-            else:
-                found[i][r] = to
+                to = x.narrowed(r, a, b, counted[4 * j : 4 * j + 4])
+                if isinstance(to, _Interval):
+                    open_[i, r] = to
+                else:
+                    found[i][r] = to
     return found
 
 

@@ -575,3 +575,29 @@ def test_elastic_net_and_lasso_reach_their_conditions(spark):
     slope = x.T @ left / 300
     assert all(abs(g) <= 0.2 + 1e-6 if w == 0 else g == pytest.approx(0.2 * np.sign(w), abs=1e-6) for g, w in zip(slope, model.coef, strict=True))
     assert 0 in model.coef.tolist() and left.mean() == pytest.approx(0, abs=1e-6)
+
+
+def test_dbscan_equals_plain_clusters(spark, monkeypatch):
+    from mlquarry.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "BLOCK", 50)
+    own = np.random.default_rng(9)
+    x = np.concatenate([own.normal(c, 0.5, (60, 2)) for c in (0, 3, 6)] + [own.uniform(-3, 9, (40, 2))])
+    for kind in ("long", "int"):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"id {kind}, v array<double>").repartition(4)
+        near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 0.45
+        core = near.sum(axis=1) >= 5
+        cluster = np.full(len(x), -1)
+        for i in np.flatnonzero(core):  # in order of ids, so a cluster's number is its smallest core id
+            todo = [i] if cluster[i] < 0 else []
+            while todo:
+                j = todo.pop()
+                if cluster[j] < 0:
+                    cluster[j] = i
+                    todo += [k for k in np.flatnonzero(near[j] & core) if cluster[k] < 0]
+        for i in np.flatnonzero(~core):
+            own_near = cluster[near[i] & core]
+            cluster[i] = own_near.min() if own_near.size else -1
+        got = {r.id: (r.cluster, r.core) for r in clustering.dbscan(df, "id", 0.45, 5).collect()}
+        assert got == {i: (int(c), bool(k)) for i, (c, k) in enumerate(zip(cluster, core, strict=True))}
+    assert clustering.dbscan(df.where("false"), "id").collect() == []
