@@ -6,8 +6,8 @@ from there up to the body is the threshold: under every node that reaches it the
 text.
 
 What an element or a name says about a block only changes its weight. Text of menus, footers, sidebars, forms and page
-headers counts as text of links, so its density is 0; a block with a telling name has LOWERED of its density, an article
-or main element RAISED times. Only what is no text at all (scripts, styles, controls, pictures) is cut from the tree.
+headers counts as text of links, so its density is 0; a block with a telling name has LOWERED of its density. Only what
+is no text at all (scripts, styles, controls, pictures) is cut from the tree.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ PLAIN = frozenset(
 )
 HEADERS = frozenset("header site-header page-header main-header top-header".split())
 NAMED = BLOCK - MAIN - frozenset("html body h1 h2 h3 h4 h5 h6".split())
-LOWERED, RAISED = 0.002, 100.0
+LOWERED = 0.002
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\t\n\f\r />]*+)((?:[^>=]++|=[\t\n\f\r ]*+(?:"[^"]*+"|'[^']*+'|))*+)>""")
 #: A tag whose quotes do not end.
@@ -194,7 +194,7 @@ class Weights:
                 aside = tag in ASIDE and not (tag == "header" and inside[i]) and (names or tag != "form")
                 self.linked[i] = self.linked[up] or aside and not whole
                 self.named[i] = self.named[up] or names and tree.marked[i] and not whole
-                self.factor[i] = (LOWERED if self.named[i] else 1.0) * (RAISED if inside[i] else 1.0)
+                self.factor[i] = LOWERED if self.named[i] else 1.0
             if any(t in MAIN and not (self.linked[i] or self.named[i] or self.cut[i]) for i, t in enumerate(tags)):
                 break
         self.anything = any(not (self.cut[i] or self.linked[i]) and t.strip() for i, t, _ in tree.texts)

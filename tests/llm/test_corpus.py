@@ -318,7 +318,7 @@ def test_html_density_against_plain_version():
         assert html_extract.main_nodes(tree, weights, block) == want
 
 
-def test_html_of_the_tables_against_plain_version(spark):
+def test_html_of_the_tables_against_plain_version(spark, monkeypatch):
     """The generated pages have one article of headings and paragraphs without attributes: cut it out by hand."""
     import html
     import re
@@ -331,6 +331,8 @@ def test_html_of_the_tables_against_plain_version(spark):
         assert got[r.page_id] == "\n\n".join(x for x in parts if x)
         changed += bool(re.search('class="ad">[^<]', r.html))
     assert len(got) == 250 and changed == 250  # on each there is an advert that only its weight keeps out
+    monkeypatch.setattr(html_extract, "density", lambda *_: 1.0)
+    assert sum(html_extract.extract(r.html) != got[r.page_id] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()) > 50
 
 
 def test_html_pages(spark):
@@ -827,3 +829,27 @@ def test_warc_reader_refuses_other_bytes():
     for bad in (one + b"no gzip", one[:-9], gzip.compress(b"WARC/1.0\r\n" + b"a: b\r\n" * 20_000), gzip.compress(b"other\r\n\r\n")):
         with pytest.raises(ValueError):
             list(warc.records(io.BytesIO(bad).read))
+
+
+def test_classifier_scores_against_plain_version(docs, labels, texts):
+    """Pooling, network and temperature of the query's scores anew, word by word."""
+    own = quality_classifier
+    vectors = own.word_vectors(docs)
+    network = own.train(docs, labels, vectors)
+    a, b, c, d = network.layers
+
+    def plain(text):
+        x = [vectors[int.from_bytes(hashlib.md5(w).digest()[:4], "big") % own.VOCAB].astype(float) for w in (text or "").encode().split()]
+        mean = sum(x, np.zeros(own.SIZE)) / max(1, len(x))
+        square = sum((v * v for v in x), np.zeros(own.SIZE)) / max(1, len(x))
+        steps = sum(((v - u) ** 2 for u, v in zip(x, x[1:], strict=False)), np.zeros(own.SIZE)) / max(1, len(x))
+        features = np.concatenate((mean, np.sqrt(np.maximum(square - mean**2, 0)), np.sqrt(steps)))
+        z = (features - network.mean) / network.scale
+        return 1 / (1 + math.exp(-(np.tanh(z @ a + b) @ c + d[0]) / network.temperature))
+
+    got = defaultdict(list)
+    for r in own.score(docs, labels).collect():
+        got[r.doc_id].append(r.score)
+        assert r.predicted == (r.score >= own.CUTOFF) and 0 <= r.score <= 1
+    for i, text in texts:
+        assert any(s == pytest.approx(plain(text), abs=2e-3) for s in got[i]), i
