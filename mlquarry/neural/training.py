@@ -262,7 +262,8 @@ class ContrastiveLearner(Module):
 
 
 def mc_dropout(df: DataFrame, id_col: str, model: Module, n_samples: int = 30) -> DataFrame:
-    """(id, mean, variance) of the first output over passes with dropout on, each pass with a seed of its own."""
+    """(id, mean, variance) of the first output over passes with dropout on, each pass with a seed of its own in each task;
+    one scan for all passes. A repeated id has its rows' passes together."""
 
     def seeded(m: Module, seed: int) -> None:
         for _, child in m.children():
@@ -271,15 +272,23 @@ def mc_dropout(df: DataFrame, id_col: str, model: Module, n_samples: int = 30) -
             seeded(child, seed + 1)
 
     model.train()
-    parts = []
-    for k in range(n_samples):
-        seeded(model, 1000 * k)
-        parts.append(forward(df.select(id_col, "v"), model).select(id_col, F.element_at("output", 1).alias("y")))
+    sent = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     model.eval()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(id_col).agg(F.avg("y").alias("mean"), F.var_pop("y").alias("variance"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = [pickle.loads(sent.value) for _ in range(n_samples)]
+        for k, own in enumerate(passes):
+            seeded(own, 1000 * k)
+        for batch in batches:
+            if batch.num_rows:
+                x = Tensor(_vectors(batch.column(1)))
+                y = np.stack([own(x).data.reshape(batch.num_rows, -1)[:, 0] for own in passes])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y.sum(axis=0)), pa.array((y * y).sum(axis=0))], names=[id_col, "s", "q"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    sums = df.select(id_col, "v").mapInArrow(kernel, f"`{id_col}` {kind}, s double, q double").groupBy(id_col).agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.count("*").alias("n"))
+    mean = F.col("s") / (F.col("n") * n_samples)
+    return sums.select(id_col, mean.alias("mean"), F.greatest(F.col("q") / (F.col("n") * n_samples) - mean * mean, F.lit(0.0)).alias("variance"))
 
 
 def integrated_gradients(model: Module, x: np.ndarray, target: int | None = None, baseline: np.ndarray | None = None, steps: int = 50) -> np.ndarray:

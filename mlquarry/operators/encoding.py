@@ -108,8 +108,12 @@ class OneHotEncoder:
         return self
 
     def _few(self, df: DataFrame) -> bool:
-        estimate = df.agg(*[F.approx_count_distinct(c) for c in self.cols]).first()
-        return sum(estimate) <= MAX_COLUMNS
+        found = 0
+        for c in self.cols:
+            found += df.select(c).where(F.isnotnull(c)).distinct().limit(MAX_COLUMNS + 1 - found).count()
+            if found > MAX_COLUMNS:
+                return False
+        return True
 
     def get_feature_names(self, input_features: Sequence[str] | None = None) -> list[str]:
         names = input_features or [f"x{i}" for i in range(len(self.cols))]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ngrams, words_by_space
 from ..storage import cut
 from .encoding import sized
+from .ranking import numbered
 
 
 def terms(docs: DataFrame, id_col: str, text: str, lowercase: bool = True, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
@@ -28,10 +29,12 @@ def top_terms(weights: DataFrame, weight: str, max_features: int | None) -> Data
     return weights if max_features is None else weights.orderBy(F.desc(weight), "term").limit(max_features)
 
 
-def vocabulary(docs: DataFrame, id_col: str, text: str, max_vocab_size: int = 10_000, min_freq: int = 1, tokens: Column | None = None) -> DataFrame:
-    """(term, n, idx): the most frequent terms, numbered from 0 by frequency and then by term."""
+def vocabulary(docs: DataFrame, id_col: str, text: str, max_vocab_size: int | None = 10_000, min_freq: int = 1, tokens: Column | None = None) -> DataFrame:
+    """(term, n, idx): the most frequent terms (None: all), numbered from 0 by frequency and then by term."""
     source = docs.select(F.explode(tokens).alias("term")) if tokens is not None else terms(docs, id_col, text)
     counts = source.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_freq)
+    if max_vocab_size is None:
+        return numbered(counts, [-F.col("n"), "term"], "idx")
     best = top_terms(counts, "n", max_vocab_size)  # bounded, so one task may number it
     return best.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "term")) - 1)
 

@@ -109,6 +109,9 @@ def test_federated_and_uncertainty(spark, rows):
     assert any((a != p.data).any() for a, p in zip(before, model.parameters(), strict=True))
     spread = training.mc_dropout(rows.limit(5), "id", mlp([2, 8, 1], dropout=0.5), 6).collect()
     assert len(spread) == 5 and any(r.variance > 0 for r in spread)
+    plain = mlp([2, 8, 1], seed=4)
+    want = {r.id: r.output[0] for r in training.forward(rows, plain).collect()}
+    assert all(r["mean"] == pytest.approx(want[r.id]) and r.variance == pytest.approx(0, abs=1e-9) for r in training.mc_dropout(rows, "id", plain, 4).collect())
 
 
 def test_explanations_and_attacks():

@@ -601,3 +601,18 @@ def test_dbscan_equals_plain_clusters(spark, monkeypatch):
         got = {r.id: (r.cluster, r.core) for r in clustering.dbscan(df, "id", 0.45, 5).collect()}
         assert got == {i: (int(c), bool(k)) for i, (c, k) in enumerate(zip(cluster, core, strict=True))}
     assert clustering.dbscan(df.where("false"), "id").collect() == []
+
+
+def test_vocabulary_of_all_terms(spark):
+    docs = spark.createDataFrame([(1, "b a b c"), (2, "c b d")], "id int, t string")
+    bounded = {r.term: r.idx for r in vectorizing.vocabulary(docs, "id", "t").collect()}
+    assert {r.term: r.idx for r in vectorizing.vocabulary(docs, "id", "t", None).collect()} == bounded == {"b": 0, "c": 1, "a": 2, "d": 3}
+
+
+def test_one_hot_limit_is_exact(spark, monkeypatch):
+    df = spark.createDataFrame([(str(i), "x") for i in range(9)], "a string, b string")
+    monkeypatch.setattr(encoding, "MAX_COLUMNS", 10)
+    assert len(encoding.OneHotEncoder(["a", "b"]).fit(df).get_feature_names()) == 10
+    monkeypatch.setattr(encoding, "MAX_COLUMNS", 9)
+    with pytest.raises(ValueError, match="categories"):
+        encoding.OneHotEncoder(["a", "b"]).fit(df)
