@@ -297,10 +297,10 @@ def temporal_crop(spark, sf_dir):
 
 @query(
     "exponential_mean",
-    "WITH e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events) SELECT a.event_id, round(sum(0.1 * b.value * pow(0.9, a.t - b.t)), 6) AS mean FROM e a JOIN e b ON a.user_id = b.user_id AND b.t <= a.t GROUP BY 1",
+    "WITH e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events) SELECT a.event_id, round(sum(b.value / 7 * pow(6 / 7.0, a.t - b.t)), 6) AS mean FROM e a JOIN e b ON a.user_id = b.user_id AND b.t <= a.t GROUP BY 1",
 )
 def exponential_mean(spark, sf_dir):
-    return rounded(S.exponential_mean(events(spark, sf_dir), "user_id", "t", "value", 0.1, chunk=16).select("event_id", "mean"), "mean")
+    return rounded(S.exponential_mean(events(spark, sf_dir), "user_id", "t", "value", 1 / 7, chunk=16).select("event_id", "mean"), "mean")
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql
