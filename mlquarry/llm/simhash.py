@@ -115,7 +115,11 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
 
 
 def group_links(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b) of the spanning forest under every key. Groups are at most 2**16 fingerprints."""
+    """(a, b) of the spanning forest under every key. Groups are at most 2**16 fingerprints.
+
+    The rows are kept first: right above a join on the keys Spark would leave out exchange and sort, as the join has both,
+    and then might broadcast the join, so that the rows of a key no longer come one after another.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(fp: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
@@ -138,7 +142,7 @@ def group_links(rows: DataFrame, keys: list[str]) -> DataFrame:
         if held:
             yield flush(held[0][-1].view(np.uint64), np.array([], int))
 
-    sorted_rows = rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
+    sorted_rows = cut(rows.select(*keys, "fp")).repartition(*keys).sortWithinPartitions(*keys)
     return sorted_rows.mapInArrow(kernel, "a long, b long")
 
 

@@ -466,6 +466,30 @@ def test_simhash_links_and_split_groups(spark, monkeypatch):
         assert {frozenset(x) for x in parts.values()} | single == want
 
 
+def test_simhash_links_pairs_that_meet_under_one_key_only(spark):
+    """Three fingerprints a key, linked by bits of three blocks: rows of a key that come apart lose the link."""
+    own = random.Random(6)
+    want, prints = [], []
+    for _ in range(300):
+        a = own.getrandbits(64)
+        flips = [own.sample(range(first, first + 10), 2) for first in (33, 44, 54)]
+        want.append({a, *[a ^ sum(1 << f[k] for f in flips) for k in range(2)]})
+        prints += want[-1]
+    own.shuffle(prints)
+    signed = spark.createDataFrame([(p - (1 << 64) if p >= 1 << 63 else p,) for p in prints], "fp long")
+    # as on large tables: the keys of groups are few enough to be broadcast, those of fingerprints are not and stay in parts
+    large = {"spark.sql.adaptive.autoBroadcastJoinThreshold": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in large.items():
+        spark.conf.set(name, value)
+    try:
+        links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(signed).collect()]
+    finally:
+        for name in large:
+            spark.conf.unset(name)
+    root = groups(links, prints)
+    assert all(len({root[p] for p in x}) == 1 for x in want) and len(set(root.values())) == len(want)
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 300), (300, 400), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
