@@ -5,6 +5,7 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import math
 import random
 import zlib
@@ -529,6 +530,39 @@ def test_near_dedup_keeps_one_of_each_similar_group(spark, docs, empty, texts, t
     assert near_dedup.keep_first(empty).collect() == [] and near_dedup.keep_first(docs).columns == docs.columns
 
 
+def test_near_dedup_compares_all_texts_of_a_large_key(spark, monkeypatch):
+    """Two texts each replace the same two places of one base, so only keys that most texts have bring them together."""
+    base = prose(7000, 1200).split()
+    rows = []
+    for i, places in enumerate(itertools.combinations(range(10, 1200, 120), 2)):
+        for k in range(2):
+            own = list(base)
+            for at in places:
+                own[at : at + 46] = prose(7100 + 2000 * k + 40 * i + at % 37, 46).split()
+            rows.append((2 * i + k, " ".join(own)))
+    sets = [plain_shingles(x) for _, x in rows]
+    ids = range(len(rows))
+    root = groups([(a, b) for a in ids for b in ids if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], ids)
+    want = {min(i for i in ids if root[i] == r) for r in set(root.values())}
+    assert len(want) == 45
+    for block in (2048, 16):
+        monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+        kept = near_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r.doc_id for r in kept.collect()} == want
+
+
+@pytest.mark.parametrize("size", [1, 40, 3000])
+def test_sketches_differ_in_no_more_bits_than_sets(size):
+    own = np.random.default_rng(size)
+    a = np.unique(own.integers(0, 1 << 63, size, np.uint64))
+    for part in (0, size // 10, size):
+        b = np.unique(np.concatenate([a[part:], own.integers(0, 1 << 63, size, np.uint64)[: part + size % 7]]))
+        x, y = (np.frombuffer(near_dedup.sketch(s), "<u8").reshape(1, -1) for s in (a, b))
+        width = min(x.shape[1], y.shape[1])
+        differ = np.bitwise_count(near_dedup.folded(x, width) ^ near_dedup.folded(y, width)).sum()
+        assert differ <= np.setxor1d(a, b).size and (differ == 0) == (np.setxor1d(a, b).size == 0)
+
+
 # LM
 
 
