@@ -551,6 +551,36 @@ def test_near_dedup_compares_all_texts_of_a_large_key(spark, monkeypatch):
         assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_near_dedup_runs_the_rounds_of_components_once(spark, monkeypatch):
+    """Later links join groups without another run of dozens of plans and broadcasts on the driver."""
+    base, calls = prose(7000, 1200).split(), []
+    rows = []
+    for i, places in enumerate(itertools.combinations(range(10, 1200, 120), 2)):
+        for k in range(2):
+            own = list(base)
+            for at in places:
+                own[at : at + 46] = prose(7100 + 2000 * k + 40 * i + at % 37, 46).split()
+            rows.append((2 * i + k, " ".join(own)))
+    monkeypatch.setattr(near_dedup, "components", lambda edges: calls.append(1) or simhash.components(edges))
+    assert near_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).count() == 45
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("most", [1 << 16, 10])
+def test_groups_merge_as_all_links_together_say(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "ON_DRIVER", most)
+    own = random.Random(5)
+    ids = [own.randrange(-(1 << 63), 1 << 63) for _ in range(300)]
+    first, later = ([(own.choice(ids), own.choice(ids)) for _ in range(n)] for n in (120, 80))
+    chain = [(ids[i], ids[i + 1]) for i in range(40)]
+    for more in (later, chain, [], first):
+        root = groups(first + more, ids)
+        roots = simhash.components(spark.createDataFrame(first, "a long, b long")).withColumnRenamed("node", "member")
+        got = near_dedup.merged(roots, spark.createDataFrame(more, "a long, b long")).collect()
+        least = {r: min(x for x in ids if root[x] == r) for r in set(root.values())}
+        assert sorted((r.member, r.root) for r in got) == sorted((x, least[root[x]]) for x in set(ids) if x != least[root[x]])
+
+
 @pytest.mark.parametrize("size", [1, 40, 3000])
 def test_sketches_differ_in_no_more_bits_than_sets(size):
     own = np.random.default_rng(size)
