@@ -47,8 +47,8 @@ class Words(dict):
         self.hashes.append(int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:4], "big"))
         return found
 
-    def forget(self) -> None:
-        if len(self) > MEMORY:
+    def forget(self, most: int = MEMORY) -> None:
+        if len(self) > most:
             self.clear()
             self.hashes = array("q")
 
@@ -112,6 +112,11 @@ def scores(own: Texts, ratios: np.ndarray) -> np.ndarray:
     return np.round(np.bincount(doc, weights=ratios[bucket], minlength=len(own.texts)) / np.maximum(n, 1), 6)
 
 
+def forget_words() -> None:
+    """Frees what this worker remembers; the stages that come after need the memory."""
+    _words.forget(0)
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """__id of the documents that labels mark as good."""
     return labels.where("quality = 1").select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
@@ -180,6 +185,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in chunks(batches):
             texts = pc.cast(batch.column(batch.schema.get_field_index("text")), pa.string()).to_pylist()
             yield batch.filter(pa.array(judged(empty_text(texts), held.value)["kept"]))
+        forget_words()
 
     return docs.mapInArrow(kernel, docs.schema)
 

@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -551,6 +552,18 @@ def test_near_dedup_compares_all_texts_of_a_large_key(spark, monkeypatch):
         assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_workers_keep_no_words_after_the_quality_stage(spark):
+    docs = spark.createDataFrame([(i, prose(i, 80)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    quality_rules.keep_good(docs, labels).collect()
+
+    def kernel(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(quality_rules._words)])], names=["n"])
+
+    assert {r.n for r in spark.range(40).repartition(8).mapInArrow(kernel, "n long").collect()} == {0}
+
+
 def test_near_dedup_runs_the_rounds_of_components_once(spark, monkeypatch):
     """Later links join groups without another run of dozens of plans and broadcasts on the driver."""
     base, calls = prose(7000, 1200).split(), []
