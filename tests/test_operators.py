@@ -616,3 +616,54 @@ def test_one_hot_limit_is_exact(spark, monkeypatch):
     monkeypatch.setattr(encoding, "MAX_COLUMNS", 9)
     with pytest.raises(ValueError, match="categories"):
         encoding.OneHotEncoder(["a", "b"]).fit(df)
+
+
+def away_from_driver(monkeypatch):
+    """Small groups, so that a search has many, and an error where rows pass the driver one by one."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from mlquarry.operators import neighbors
+
+    def refused(self, *_):
+        raise AssertionError("rows pass the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    for name, value in (("LEAST", 10), ("BLOCK", 16), ("CELLS", 500), ("HELD", 40)):
+        monkeypatch.setattr(neighbors, name, value, raising=False)
+
+
+def test_searches_do_not_pass_the_driver(spark, monkeypatch):
+    from mlquarry.operators import neighbors
+
+    away_from_driver(monkeypatch)
+    own = np.random.default_rng(21)
+    for offset in (0.0, 1e6):
+        x = own.normal(size=(70, 3)).round(1) + offset  # with ties
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+        rows = df.select(F.col("id").cast("string").alias("nid"), "v", (F.col("id") * 2).alias("y"))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        names = [str(i) for i in range(70)]
+        got = {(r.id, r.rank): (r.nid, r.distance, r.y) for r in neighbors.nearest(df, rows, 6, "id", "nid", ["y"]).collect()}
+        for i in range(70):
+            for rank, j in enumerate(sorted(range(70), key=lambda j, i=i: (d[i, j], names[j]))[:6], 1):
+                assert got[i, rank] == (names[j], d[i, j], 2 * j)
+        assert len(got) == 420
+        pairs = {(r.id, int(r.nid)) for r in neighbors.within(df, rows, float(d[0, 1]), "id", "nid").collect()}
+        assert pairs == {(int(i), int(j)) for i, j in np.argwhere(d <= d[0, 1])}
+
+
+def test_dbscan_does_not_pass_the_driver(spark, monkeypatch):
+    away_from_driver(monkeypatch)
+    monkeypatch.setattr(clustering, "BLOCK", 4)
+    own = np.random.default_rng(5)
+    x = np.concatenate([own.normal(c, 0.4, (40, 2)) for c in (0, 4, 8)] + [own.uniform(-3, 11, (20, 2))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 0.6
+    core = near.sum(axis=1) >= 4
+    label = np.where(core, np.arange(len(x)), len(x))
+    for _ in range(len(x)):
+        label = np.where(core, np.where(near & core[None], label[None], len(x)).min(axis=1), len(x))
+    seen = np.where(near & core[None], label[None], len(x)).min(axis=1)
+    got = {r.id: (r.cluster, r.core) for r in clustering.dbscan(df, "id", 0.6, 4).collect()}
+    assert got == {i: (int(c) if c < len(x) else -1, bool(k)) for i, (c, k) in enumerate(zip(seen, core, strict=True))}
+    assert len(set(label[core].tolist())) > 2
