@@ -137,7 +137,7 @@ def knn_distance_outlier(df: DataFrame, id_col: str, k: int = 10, contamination:
 def simple_lof(df: DataFrame, id_col: str, n_neighbors: int = 20, contamination: float = 0.1) -> DataFrame:
     """Mean density of the neighbours over one's own, density being 1 / (mean neighbour distance + 1e-10), without reach."""
     rows = df.select(F.col(id_col).alias("nid"), "v")
-    graph = nearest(df.select(id_col, "v"), rows, n_neighbors, id_col, "nid").select(id_col, "nid", "distance")
+    graph = cut(nearest(df.select(id_col, "v"), rows, n_neighbors, id_col, "nid").select(id_col, "nid", "distance"))  # read twice
     density = graph.groupBy(id_col).agg((1 / (F.avg("distance") + 1e-10)).alias("density"))
     around = graph.join(density.select(F.col(id_col).alias("nid"), F.col("density").alias("other")), "nid").groupBy(id_col).agg(F.avg("other").alias("other"))
     scores = around.join(density, id_col).select(id_col, (F.col("other") / (F.col("density") + 1e-10)).alias("score"))
@@ -147,7 +147,7 @@ def simple_lof(df: DataFrame, id_col: str, n_neighbors: int = 20, contamination:
 def local_outlier_factor(df: DataFrame, id_col: str, n_neighbors: int = 20, contamination: float = 0.1) -> DataFrame:
     """LOF with reach distances: k-distance is the distance to the k-th other row, the k nearest include the row itself."""
     rows = df.select(F.col(id_col).alias("nid"), "v")
-    graph = nearest(df.select(id_col, "v"), rows, n_neighbors + 1, id_col, "nid")
+    graph = cut(nearest(df.select(id_col, "v"), rows, n_neighbors + 1, id_col, "nid"))  # read four times
     k_distance = graph.groupBy(id_col).agg(F.max("distance").alias("k_distance"))
     near = graph.where(F.col("rank") <= n_neighbors).join(k_distance.withColumnRenamed(id_col, "nid"), "nid")
     lrd = near.groupBy(id_col).agg((1 / (F.avg(F.greatest("distance", "k_distance")) + 1e-10)).alias("lrd"))
