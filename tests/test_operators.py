@@ -667,3 +667,25 @@ def test_dbscan_does_not_pass_the_driver(spark, monkeypatch):
     got = {r.id: (r.cluster, r.core) for r in clustering.dbscan(df, "id", 0.6, 4).collect()}
     assert got == {i: (int(c) if c < len(x) else -1, bool(k)) for i, (c, k) in enumerate(zip(seen, core, strict=True))}
     assert len(set(label[core].tolist())) > 2
+
+
+def test_kernel_sums_do_not_pass_the_driver(spark, monkeypatch):
+    away_from_driver(monkeypatch)
+    own = np.random.default_rng(6)
+    x, t = own.normal(size=(60, 3)), own.integers(0, 9, 60)
+    df = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, t, strict=True))], "id long, v array<double>, t long").repartition(3)
+    square = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    for kernel, k in (("linear", x @ x.T), ("rbf", np.exp(-0.3 * square)), ("poly", (x @ x.T + 1) ** 3)):
+        m = 0.01 * k.sum(axis=1)
+        left = (t - m)[np.abs(t - m) > 0.5]
+        got = {r.id: r.prediction for r in linear.SVR("id", "t", kernel, 0.3, epsilon=0.5).fit(df).predict(df).collect()}
+        assert got == pytest.approx({i: m[i] + left.mean() for i in range(60)}), kernel
+        y = np.where(t == 4, 1.0, -1.0)
+        m = 0.01 * k @ y
+        both = df.withColumn("t", (F.col("t") == 4).cast("int"))
+        got = {r.id: r.decision for r in linear.SVC("id", "t", kernel, 0.3).fit(both).predict(both).collect()}
+        assert got == pytest.approx({i: m[i] + (y - m).mean() for i in range(60)}), kernel
+    broken = df.withColumn("v", F.when(F.col("id") != 7, F.col("v")))
+    for kernel in ("linear", "rbf"):  # refused as before
+        with pytest.raises(Exception, match="a vector is null"):
+            linear.kernel_decision(df, broken, "id", "t", kernel, 0.3).collect()
