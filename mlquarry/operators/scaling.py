@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +110,60 @@ def box_cox(x: Column, power: float) -> Column:
     return F.ln(x) if abs(power) < 1e-12 else (F.pow(x, F.lit(power)) - 1) / power
 
 
+def _powered(logs: np.ndarray, powers: np.ndarray) -> Iterator[np.ndarray]:
+    """(exp(power * log) - 1) / power for evenly spaced powers (the log for 0), by one product each."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        now, step = np.exp(powers[0] * logs), np.exp((powers[1] - powers[0]) * logs)
+        for k, p in enumerate(powers):
+            if k:
+                now = now * step if np.isfinite(now).all() and now.all() else np.exp(p * logs)
+            yield logs if abs(p) < 1e-12 else (now - 1) / p
+
+
+def power_statistics(values: DataFrame, grid: Sequence[np.ndarray], method: str) -> list[tuple[int, float, np.ndarray]]:
+    """For each column the number of values, the sum of the logarithms of slopes at power 1 and the population variance at
+    each of its evenly spaced powers. Tasks merge moments of their batches, the driver those of tasks."""
+
+    def merged(one: tuple, two: tuple) -> tuple:
+        n, j, mean, square = (np.asarray(v) for v in one)
+        m, i, other, more = (np.asarray(v) for v in two)
+        with np.errstate(over="ignore", invalid="ignore"):
+            shift = other - mean
+            return n + m, j + i, mean + shift * (m / (n + m)), square + more + shift**2 * (n * m / (n + m))
+
+    def moments(x: np.ndarray, powers: np.ndarray) -> tuple:
+        below = x < 0 if method == "yeo-johnson" else np.zeros(len(x), bool)
+        up = np.log1p(x[~below]) if method == "yeo-johnson" else np.log(x)
+        down = np.log1p(-x[below])
+        mean, square = np.empty(len(powers)), np.empty(len(powers))
+        lower = _powered(down, 2 - powers)
+        for k, t in enumerate(_powered(up, powers)):
+            if len(down):
+                t = np.concatenate((t, -next(lower)))
+            with np.errstate(over="ignore", invalid="ignore"):
+                mean[k] = t.mean()
+                t = t - mean[k]
+                square[k] = t @ t
+        return len(x), up.sum() - down.sum(), mean, square
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple] = {}
+        for batch in batches:
+            for i, powers in enumerate(grid):
+                x = batch.column(i).drop_null().to_numpy()
+                if len(x):
+                    made = moments(x, powers)
+                    found[i] = merged(found[i], made) if i in found else made
+        rows = [(i, *v) for i, v in found.items()]
+        kinds = [pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c].tolist() if isinstance(r[c], np.ndarray) else r[c] for r in rows], k) for c, k in enumerate(kinds)], names=list("injms"))
+
+    out: dict[int, tuple] = {}
+    for r in values.mapInArrow(kernel, "i int, n long, j double, m array<double>, s array<double>").collect():  # a row for each task and column
+        out[r.i] = merged(out[r.i], tuple(r)[1:]) if r.i in out else tuple(r)[1:]
+    return [(int(v[0]), float(v[1]), np.asarray(v[3]) / v[0]) if (v := out.get(i)) else (0, 0.0, np.zeros(len(powers))) for i, powers in enumerate(grid)]
+
+
 class PowerTransformer(Transformer):
     """Yeo-Johnson or Box-Cox with the power of the largest likelihood: a grid of powers a scan, refined twice."""
 
@@ -125,19 +180,12 @@ class PowerTransformer(Transformer):
             if any(v is not None and v <= 0 for v in least):
                 raise ValueError("box-cox takes positive values only")
         centre, width = {c: 0.0 for c in self.cols}, 5.0
+        values = df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(self.cols)])
         for _ in range(4):
-            grid = {c: np.linspace(centre[c] - width, centre[c] + width, 21) for c in self.cols}
-            aggregates = []
-            for i, c in enumerate(self.cols):
-                x = number(c)
-                jacobian = F.signum(x) * F.log1p(F.abs(x)) if self.method == "yeo-johnson" else F.ln(x)
-                aggregates += [F.count(x).alias(f"n{i}"), F.sum(jacobian).alias(f"j{i}")]
-                aggregates += [F.var_pop(self.function(x, float(p))).alias(f"v{i}_{k}") for k, p in enumerate(grid[c])]
-            row = df.agg(*aggregates).first()
-            for i, c in enumerate(self.cols):
-                n, j = row[f"n{i}"], row[f"j{i}"] or 0.0
-                likely = [-n / 2 * np.log(max(row[f"v{i}_{k}"] or 0.0, 1e-300)) + (p - 1) * j for k, p in enumerate(grid[c])]
-                centre[c] = float(grid[c][int(np.argmax(likely))])
+            grid = [np.linspace(centre[c] - width, centre[c] + width, 21) for c in self.cols]
+            for c, powers, (n, j, var) in zip(self.cols, grid, power_statistics(values, grid, self.method), strict=True):
+                likely = np.where(np.isfinite(var), -n / 2 * np.log(np.maximum(var, 1e-300)) + (powers - 1) * j, -np.inf)
+                centre[c] = float(powers[int(np.argmax(likely))])
             width /= 10
         self.params = centre
         return self

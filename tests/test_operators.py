@@ -689,3 +689,31 @@ def test_kernel_sums_do_not_pass_the_driver(spark, monkeypatch):
     for kernel in ("linear", "rbf"):  # refused as before
         with pytest.raises(Exception, match="a vector is null"):
             linear.kernel_decision(df, broken, "id", "t", kernel, 0.3).collect()
+
+
+def test_power_transformer_takes_moments_without_an_aggregate_for_each_power(spark, monkeypatch):
+    own = np.random.default_rng(8)
+    x = np.concatenate((own.lognormal(2, 1, 300), -own.lognormal(0, 1, 200)))
+    df = spark.createDataFrame([(float(v), float(abs(v))) for v in x] + [(None, float("nan"))], "a double, b double").repartition(3)
+
+    def refused(*_):
+        raise AssertionError("an aggregate for each power")
+
+    monkeypatch.setattr(F, "var_pop", refused)
+
+    def plain(x, method):
+        centre, width = 0.0, 5.0
+        for _ in range(4):
+            likely = []
+            grid = np.linspace(centre - width, centre + width, 21)
+            for p in grid:
+                up = lambda v, p: np.log(v) if abs(p) < 1e-12 else (v**p - 1) / p
+                t = up(x, p) if method == "box-cox" else np.concatenate((up(1 + x[x >= 0], p), -up(1 - x[x < 0], 2 - p)))
+                j = np.log(x).sum() if method == "box-cox" else (np.sign(x) * np.log1p(np.abs(x))).sum()
+                likely.append(-len(x) / 2 * np.log(t.var()) + (p - 1) * j)
+            centre, width = float(grid[int(np.argmax(likely))]), width / 10
+        return centre
+
+    got = scaling.PowerTransformer(["a", "b"]).fit(df).params
+    assert got == pytest.approx({"a": plain(x, "yeo-johnson"), "b": plain(np.abs(x), "yeo-johnson")}, abs=1e-9)
+    assert scaling.PowerTransformer(["b"], "box-cox").fit(df).params["b"] == pytest.approx(plain(np.abs(x), "box-cox"), abs=1e-9)
