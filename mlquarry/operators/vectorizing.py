@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +16,20 @@ from .encoding import sized
 from .ranking import numbered
 
 
-def terms(docs: DataFrame, id_col: str, text: str, lowercase: bool = True, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(id, term) of every occurrence."""
+#: Terms that tasks look up in a text's words; a larger vocabulary is joined. Words that a task looks up at a time.
+LOOKED_UP, WORDS = 100_000, 1_000_000
+
+
+def term_list(text: str, lowercase: bool = True, ngram_range: tuple[int, int] = (1, 1)) -> Column:
     words = words_by_space(F.lower(text) if lowercase else F.col(text))
     low, high = ngram_range
     lists = [ngrams(words, n) if n > 1 else words for n in range(low, high + 1)]
-    return docs.select(id_col, F.explode(F.concat(*lists) if len(lists) > 1 else lists[0]).alias("term"))
+    return F.concat(*lists) if len(lists) > 1 else lists[0]
+
+
+def terms(docs: DataFrame, id_col: str, text: str, lowercase: bool = True, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(id, term) of every occurrence."""
+    return docs.select(id_col, F.explode(term_list(text, lowercase, ngram_range)).alias("term"))
 
 
 def term_counts(docs: DataFrame, id_col: str, text: str, **how) -> DataFrame:
@@ -67,15 +80,60 @@ def decode(ids: DataFrame, id_col: str, vocab: DataFrame, separator: str = " ")
     return placed.groupBy(id_col).agg(ordered.alias("x")).select(id_col, F.array_join("x.term", separator).alias("text"))
 
 
+def by_rows(docs: DataFrame, id_col: str, max_features: int | None) -> bool:
+    """Whether each text can be counted where it lies: the vocabulary has a bound and no id has two rows."""
+    return max_features is not None and max_features <= LOOKED_UP and docs.groupBy(id_col).count().where("count > 1").isEmpty()
+
+
+def found_terms(docs: DataFrame, id_col: str, tokens: Column, best: list[str], idf: list[float] | None = None) -> DataFrame:
+    """(id, term, n) of the terms in best, looked up in each row's own words: nothing is shuffled. With idf n is not the
+    count but count / words of the row * idf, in rows of length 1."""
+    rows = docs.select(id_col, tokens.alias("t"))
+    held, most, whole = docs.sparkSession.sparkContext.broadcast((best, idf)), WORDS, idf is None
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, scale = pa.array(held.value[0], pa.string()), held.value[1]
+        for batch in batches:
+            sizes = np.nan_to_num(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+            block = (np.cumsum(sizes) - sizes) // most
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                at = pc.index_in(part.column(1).flatten(), value_set=known)
+                code, row = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(b - a), sizes[a:b])
+                both, n = np.unique((row * len(known) + code)[code >= 0], return_counts=True)
+                row, code = np.divmod(both, max(1, len(known)))
+                if scale is not None:
+                    n = n / sizes[a:b][row] * np.array(scale, float)[code]
+                    length = np.sqrt(np.bincount(row, n * n, minlength=b - a))
+                    n = n / np.where(length == 0, 1.0, length)[row]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), known.take(pa.array(code)), pa.array(n, pa.int64() if scale is None else pa.float64())], names=[id_col, "term", "n"])
+
+    return rows.mapInArrow(kernel, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, term string, n {'long' if whole else 'double'}")
+
+
 def count_vectorize(docs: DataFrame, id_col: str, text: str, max_features: int | None = 5000, lowercase: bool = True) -> DataFrame:
     """(id, term, n) for the terms of largest total count."""
+    if by_rows(docs, id_col, max_features):
+        weights = terms(docs, id_col, text, lowercase).groupBy("term").agg(F.count("*").alias("w"))
+        best = [r.term for r in top_terms(weights, "w", max_features).collect()]
+        return found_terms(docs, id_col, term_list(text, lowercase), best)
     counts = cut(term_counts(docs, id_col, text, lowercase=lowercase))  # read twice: tokens are found once
     best = top_terms(counts.groupBy("term").agg(F.sum("n").alias("w")), "w", max_features).select("term")
     return counts.join(sized(best), "term").select(id_col, "term", "n")
 
 
+def document_frequencies(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(term, df) where no id has two rows."""
+    return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def binary_vectorize(docs: DataFrame, id_col: str, text: str, max_features: int | None = 5000, lowercase: bool = True) -> DataFrame:
     """(id, term, value 1) for the terms in most documents."""
+    if by_rows(docs, id_col, max_features):
+        tokens = term_list(text, lowercase)
+        best = [r.term for r in top_terms(document_frequencies(docs, tokens), "df", max_features).collect()]
+        return found_terms(docs, id_col, tokens, best).select(id_col, "term", F.lit(1).alias("value"))
     found = cut(term_counts(docs, id_col, text, lowercase=lowercase).select(id_col, "term"))
     best = top_terms(found.groupBy("term").agg(F.count("*").alias("w")), "w", max_features).select("term")
     return found.join(sized(best), "term").select(id_col, "term", F.lit(1).alias("value"))
@@ -86,12 +144,17 @@ def tfidf(docs: DataFrame, id_col: str, text: str, max_features: int | None = 50
 
     The vocabulary is the terms in most documents among those in min_df documents or more and a share of max_df or less.
     """
-    counts = cut(term_counts(docs, id_col, text, lowercase=lowercase, ngram_range=ngram_range))  # read three times
     n_docs = docs.count()
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    best = sized(top_terms(df, "df", max_features))
+    used = lambda df: df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    idf = F.ln(F.lit(float(n_docs)) / F.col("df"))
+    if by_rows(docs, id_col, max_features):
+        tokens = term_list(text, lowercase, ngram_range)
+        best = top_terms(used(document_frequencies(docs, tokens)), "df", max_features).select("term", idf.alias("idf")).collect()
+        return found_terms(docs, id_col, tokens, [r.term for r in best], [r.idf for r in best]).withColumnRenamed("n", "weight")
+    counts = cut(term_counts(docs, id_col, text, lowercase=lowercase, ngram_range=ngram_range))  # read three times
+    best = sized(top_terms(used(counts.groupBy("term").agg(F.count("*").alias("df"))), "df", max_features))
     sizes = counts.groupBy(id_col).agg(F.sum("n").alias("size"))
-    weight = F.col("n") / F.col("size") * F.ln(F.lit(float(n_docs)) / F.col("df"))
+    weight = F.col("n") / F.col("size") * idf
     raw = counts.join(best, "term").join(sizes, id_col).select(id_col, "term", weight.alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("w") / F.when(length == 0, F.lit(1.0)).otherwise(length)).alias("weight"))

@@ -1,5 +1,7 @@
 """Operators on small frames: goldens, edge cases and comparisons with numpy."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -717,3 +719,31 @@ def test_power_transformer_takes_moments_without_an_aggregate_for_each_power(spa
     got = scaling.PowerTransformer(["a", "b"]).fit(df).params
     assert got == pytest.approx({"a": plain(x, "yeo-johnson"), "b": plain(np.abs(x), "yeo-johnson")}, abs=1e-9)
     assert scaling.PowerTransformer(["b"], "box-cox").fit(df).params["b"] == pytest.approx(plain(np.abs(x), "box-cox"), abs=1e-9)
+
+
+def test_vectorizers_count_each_text_where_it_lies(spark, monkeypatch):
+    own = np.random.default_rng(12)
+    texts = [" ".join(own.choice(list("abcdefgh"), own.integers(0, 12))) for _ in range(40)] + [None, "", "zz ZZ a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    made = {}
+    for rows in (df, df.unionByName(df)):  # an id with two rows counts as one text
+        if rows is df:
+            monkeypatch.setattr(vectorizing, "WORDS", 7, raising=False)
+            monkeypatch.setattr(vectorizing, "cut", None)
+        else:
+            monkeypatch.undo()
+        times = 1 if rows is df else 2
+        counted = [Counter((t or "").lower().split()) for t in texts]
+        total, held = sum(counted, Counter()), Counter(w for c in counted for w in c)
+        top = lambda c: sorted(c, key=lambda w: (-c[w], w))[:5]
+        got = {(r.id, r.term): r.n for r in vectorizing.count_vectorize(rows, "id", "text", 5).collect()}
+        assert got == {(i, w): n * times for i, c in enumerate(counted) for w, n in c.items() if w in top(total)}
+        got = [(r.id, r.term, r.value) for r in vectorizing.binary_vectorize(rows, "id", "text", 5).collect()]
+        assert sorted(got) == sorted((i, w, 1) for i, c in enumerate(counted) for w in c if w in top(held))
+        made[times] = {(r.id, r.term): r.weight for r in vectorizing.tfidf(rows, "id", "text", 5, min_df=2, max_df=0.9).collect()}
+    best = sorted((w for w in held if 2 <= held[w] <= 0.9 * len(texts)), key=lambda w: (-held[w], w))[:5]
+    want = {}
+    for i, c in enumerate(counted):
+        w = {x: c[x] / sum(c.values()) * np.log(len(texts) / held[x]) for x in best if x in c}
+        want |= {(i, x): v / np.sqrt(sum(u * u for u in w.values())) for x, v in w.items()}
+    assert made[1] == pytest.approx(want)
