@@ -18,6 +18,8 @@ from .ranking import numbered
 
 #: Terms that tasks look up in a text's words; a larger vocabulary is joined. Words that a task looks up at a time.
 LOOKED_UP, WORDS = 100_000, 1_000_000
+#: Numbers of a vector that one aggregation takes the means of.
+MEANS = 300
 
 
 def term_list(text: str, lowercase: bool = True, ngram_range: tuple[int, int] = (1, 1)) -> Column:
@@ -185,8 +187,13 @@ def char_ngrams(word: Column, low: int = 3, high: int = 6) -> Column:
 def subword_vectors(words: DataFrame, word: str, vectors: DataFrame, low: int = 3, high: int = 6) -> DataFrame:
     """(word, v): mean of the vectors (gram, v) of a word's known n-grams; no row for a word without any."""
     grams = words.select(word, F.explode(char_ngrams(F.col(word), low, high)).alias("gram")).join(vectors, "gram")
-    means = grams.select(word, F.posexplode("v").alias("i", "x")).groupBy(word, "i").agg(F.avg("x").alias("x"))
-    return means.groupBy(word).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select(word, F.col("p.x").alias("v"))
+    wide = vectors.agg(F.max(F.size("v"))).first()[0] or 0
+    if wide > MEANS:
+        means = grams.select(word, F.posexplode("v").alias("i", "x")).groupBy(word, "i").agg(F.avg("x").alias("x"))
+        return means.groupBy(word).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select(word, F.col("p.x").alias("v"))
+    means = [F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(wide)]  # a row for each gram, not for each of its numbers
+    found = grams.groupBy(word).agg(F.max(F.size("v")).alias("__n"), *means).where("__n > 0")
+    return found.select(word, F.slice(F.array(*[f"m{i}" for i in range(wide)]), F.lit(1), F.col("__n")).alias("v"))
 
 
 def word2vec(docs: DataFrame, tokens: Column, size: int = 100, window: int = 5, min_count: int = 5, iterations: int = 1, step: float = 0.025, seed: int = 42) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import vectorizing as V
 from ..plans.pipeline import TextPlan
+from ..storage import cut
 from .common import Registry, read, rounded
 
 query = Registry()
@@ -186,7 +187,7 @@ def fasttext_word_ngrams(spark, sf_dir):
 @query("subword_vectors", f"WITH g AS (SELECT word, unnest({GRAMS}) AS gram FROM {DISTINCT_WORDS}), v AS (SELECT gram, count(DISTINCT word) AS n FROM g GROUP BY gram) SELECT word, round(avg(n), 6) AS words, round(avg(length(gram)), 6) AS size FROM g JOIN v USING (gram) GROUP BY word")
 def subword_vectors(spark, sf_dir):
     """Mean over a word's n-grams of the words that hold one, and of its length."""
-    own = all_words(spark, sf_dir)
+    own = cut(all_words(spark, sf_dir))  # read three times
     vectors = own.select(F.explode(F.array_distinct(V.char_ngrams(F.col("word"), 3, 6))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     vectors = vectors.select("gram", F.array(F.col("n").cast("double"), F.length("gram").cast("double")).alias("v"))
     found = V.subword_vectors(own, "word", vectors)

@@ -747,3 +747,13 @@ def test_vectorizers_count_each_text_where_it_lies(spark, monkeypatch):
         w = {x: c[x] / sum(c.values()) * np.log(len(texts) / held[x]) for x in best if x in c}
         want |= {(i, x): v / np.sqrt(sum(u * u for u in w.values())) for x, v in w.items()}
     assert made[1] == pytest.approx(want)
+
+
+def test_subword_vectors_take_means_without_a_row_for_each_number(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a row for each number")
+
+    monkeypatch.setattr(F, "posexplode", refused)
+    vectors = spark.createDataFrame([("#ab", [1.0, 5.0]), ("ab#", [3.0, None, 7.0]), ("#zz", [])], "gram string, v array<double>")
+    got = vectorizing.subword_vectors(spark.createDataFrame([("ab",), ("zz",), ("q",)], "word string"), "word", vectors, 3, 3).collect()
+    assert [tuple(r) for r in got] == [("ab", [2.0, 5.0, 7.0])]
