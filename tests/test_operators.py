@@ -757,3 +757,23 @@ def test_subword_vectors_take_means_without_a_row_for_each_number(spark, monkeyp
     vectors = spark.createDataFrame([("#ab", [1.0, 5.0]), ("ab#", [3.0, None, 7.0]), ("#zz", [])], "gram string, v array<double>")
     got = vectorizing.subword_vectors(spark.createDataFrame([("ab",), ("zz",), ("q",)], "word string"), "word", vectors, 3, 3).collect()
     assert [tuple(r) for r in got] == [("ab", [2.0, 5.0, 7.0])]
+
+
+def test_agglomerative_in_rounds_equals_the_driver(spark, monkeypatch):
+    own = np.random.default_rng(14)
+    x = np.concatenate([own.normal(c, 0.5, (25, 2)) for c in (0, 3, 6)] + [own.uniform(-9, 15, (15, 2)), np.zeros((3, 2))])
+    df = spark.createDataFrame([(1000 - i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    for linkage in ("single", "complete", "average"):
+        want = sorted(map(tuple, clustering.agglomerative(df, "id", 6, linkage).collect()))
+        with monkeypatch.context() as m:
+            for name, value in (("LEAST", 10), ("BLOCK", 16), ("CELLS", 500), ("HELD", 40)):
+                m.setattr(neighbors, name, value)
+            m.setattr(clustering, "MATRIX", 12, raising=False)
+            assert sorted(map(tuple, clustering.agglomerative(df, "id", 6, linkage).collect())) == want, linkage
+
+
+def test_agglomerative_takes_more_rows_than_the_driver_holds(spark):
+    x = np.random.default_rng(15).integers(0, 3, 4100) * 100.0
+    df = spark.createDataFrame([(i, [float(v), i * 1e-6]) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    got = {(r.cluster, x[r.id]) for r in clustering.agglomerative(df, "id", 3, "single").collect()}
+    assert len(got) == 3 and {c for c, _ in got} == {0, 1, 2}
